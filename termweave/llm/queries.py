@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from termweave.llm.bpe import op3_bpe
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_bpe": op3_bpe,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}
