@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from termweave.llm.bpe import op3_bpe
+from termweave.llm.langid import op10_language_id
+from termweave.llm.toxicity import op5_toxicity
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL}
