@@ -5,6 +5,7 @@ from __future__ import annotations
 from termweave.llm.bpe import op3_bpe
 from termweave.llm.langid import op10_language_id
 from termweave.llm.media import op4_media
+from termweave.llm.syncmer import op8_syncmers
 from termweave.llm.toxicity import op5_toxicity
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
 from termweave.llm.warc import OP6_SQL, op6_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op8_syncmers": op8_syncmers,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL}
