@@ -5,6 +5,7 @@ from __future__ import annotations
 from termweave.llm.bpe import op3_bpe
 from termweave.llm.langid import op10_language_id
 from termweave.llm.media import op4_media
+from termweave.llm.minhash import op2_minhash
 from termweave.llm.syncmer import op8_syncmers
 from termweave.llm.toxicity import op5_toxicity
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
@@ -12,6 +13,7 @@ from termweave.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
