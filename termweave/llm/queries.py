@@ -6,6 +6,7 @@ from termweave.llm.bpe import op3_bpe
 from termweave.llm.langid import op10_language_id
 from termweave.llm.media import op4_media
 from termweave.llm.minhash import op2_minhash
+from termweave.llm.repeats import op9_repeats
 from termweave.llm.syncmer import op8_syncmers
 from termweave.llm.toxicity import op5_toxicity
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op8_syncmers": op8_syncmers,
+    "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL}
