@@ -6,6 +6,7 @@ from termweave.llm.bpe import op3_bpe
 from termweave.llm.langid import op10_language_id
 from termweave.llm.media import op4_media
 from termweave.llm.minhash import op2_minhash
+from termweave.llm.mixing import op7_mixing
 from termweave.llm.repeats import op9_repeats
 from termweave.llm.syncmer import op8_syncmers
 from termweave.llm.toxicity import op5_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_syncmers": op8_syncmers,
     "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
