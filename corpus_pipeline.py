@@ -1,12 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage works on all rows that the one before kept. A row without doc_id or text is
+carried as far as a stage can judge it: it has no language, so the first stage drops it.
+Empty tables pass through; columns beyond those of ``documents`` are not carried.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termweave.llm import bpe, common, langid, minhash, mixing, repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text stays if one language covers at least this share of its letters.
+LEAST_SHARE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language; ``lang`` becomes the one found.
+
+    A document is rejected if it has no letter or no language covers LEAST_SHARE of it.
+    """
+    rows = docs.select(*COLUMNS).where(F.col("doc_id").isNotNull())
+    labelled = langid.label_rows(rows, langid.train(rows))
+    clean = labelled.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return clean.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest doc_id, of each near-duplicate group."""
+    judged = minhash.near_duplicates(docs)
+    return docs.select(*COLUMNS).join(judged.where("kept").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut what repeats 100 bytes from before; documents of which nothing is left go."""
+    cut = repeats.without_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).where((F.col("n_chars") > 0) | (F.col("n_removed") == 0)).select(*COLUMNS)
+
+
+def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that the domains reach their target weights."""
+    copies = mixing.mix(docs, common.read(spark, sf_dir, "labels")).where("copies > 0").select("doc_id", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
+    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, times).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every text; the ids come with digests of ids and decoded text."""
+    return bpe.encoded_rows(docs.select(*COLUMNS), common.package_path(bpe.TOKENIZER))
 
-from termweave.llm import common
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing_rates", mixing_rates),
+    ("encoding", encoding),
+]
+#: SQL has no language model, MinHash or tokenizer; the stages are tested by brute force.
 ORACLE_SQL = None
 
 

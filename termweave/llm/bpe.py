@@ -280,6 +280,29 @@ def encode_column(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
+    """Each row's doc_id, lang and source with its ids and the digest columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(path)
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                ids, rows = [], []
+                for text in part.column("text").to_pylist():
+                    packed = b"".join(model.encode(text or ""))
+                    own = array("I", packed)
+                    decoded = hashlib.sha256()
+                    for out in model.decode([own]):
+                        decoded.update(out)
+                    ids.append(own)
+                    rows.append((len(own), hashlib.sha256(packed).hexdigest(), decoded.hexdigest()))
+                n, digest, decoded = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digest), pa.array(decoded)], ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the public word tokenizer."""
     return token_digests(common.read(spark, sf_dir, "documents"), common.package_path(TOKENIZER))

@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termweave.llm import common, words
 
@@ -227,6 +228,27 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(label_batches(held, spans), schema)
 
 
+def label_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of each row with its ``lang_pred``, ``score`` and ``n_spans``.
+
+    The label columns replace like-named ones; nothing is joined, so repeated and null
+    doc_ids keep their own labels.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    added = ["lang_pred", "score", "n_spans"]
+    source = docs.drop(*added)
+    names = source.columns
+    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.IntegerType())])
+    label = label_batches(held, spans=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in label(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(found.column(c) for c in added)], [*names, *added])
+
+    return source.mapInArrow(run, schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label every document; hold-out rows took no part in the training."""
     docs = common.read(spark, sf_dir, "documents")
