@@ -185,38 +185,61 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFr
     return texts.groupBy("a", "part").applyInPandas(verify_group(percent, size), "a bigint, b bigint")
 
 
-def compare_blocks(threshold: float):
-    """Function that compares two blocks of one bucket across components."""
+def compare_blocks(percent: int, size: int):
+    """Function that links two blocks of one bucket across components.
+
+    A pair whose signatures survive the sequential test is verified on full sets here,
+    by the bucket of the first band that it shares, so once in all. What is found joins
+    components, and pairs within one are not looked at again.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
         same = not len(right)
         right = left if same else right
-        ids, comps = [x["doc_id"].to_numpy() for x in (left, right)], [x["component_id"].to_numpy() for x in (left, right)]
-        signs = [signatures(x["signature"]) for x in (left, right)]
+        ids, comp, band = rows["doc_id"].to_numpy(), rows["component_id"].to_numpy().copy(), int(rows["band"].iloc[0])
+        sign = signatures(rows["signature"])
+        raw, ends = common.text_buffers(pa.array(rows["text"], pa.string()))
+        sets: list[np.ndarray] = []
+        for a, b in common.runs(ends):
+            bounds, values = shingle_sets(raw, ends[a : b + 1], size)
+            sets += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        sizes = np.array([len(x) for x in sets])
         found: list[tuple[int, int]] = []
-        for i in range(len(left)):
-            at = np.flatnonzero((comps[1] != comps[0][i]) & ((ids[1] > ids[0][i]) if same else True))
-            kept = at[survivors(np.broadcast_to(signs[0][i], (len(at), SIGNATURE)), signs[1][at], threshold)]
-            found += [(min(ids[0][i], x), max(ids[0][i], x)) for x in ids[1][kept]]
+        for i in left:
+            at = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if same else True)]
+            at = at[percent * np.maximum(sizes[at], sizes[i]) <= 100 * np.minimum(sizes[at], sizes[i])]
+            at = at[survivors(np.broadcast_to(sign[i], (len(at), SIGNATURE)), sign[at], percent / 100)]
+            if not len(at):
+                continue
+            first = (sign[i].reshape(BANDS, ROWS) == sign[at].reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
+            for k in at[first == band]:
+                if comp[k] == comp[i]:
+                    continue
+                place = np.minimum(np.searchsorted(sets[i], sets[k]), max(0, sizes[i] - 1))
+                shared = int((sets[i][place] == sets[k]).sum()) if sizes[i] else 0
+                if 100 * shared >= percent * (sizes[i] + sizes[k] - shared):
+                    found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    comp[comp == comp[k]] = comp[i]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def cross_pairs(buckets: DataFrame, signed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of a bucket's members that are in different components.
+def cross_links(buckets: DataFrame, signed: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Verified links between a bucket's members that are in different components.
 
     The bucket's pairs with its smallest member have been verified before; so buckets
-    of two, or of one component, are done. A bucket with n members has
-    (n / BLOCK)² / 2 tasks of 2 · BLOCK rows, whatever n is.
+    of two, or of one component, are done. A bucket with n members has (n / BLOCK)² / 2 tasks of 2 · BLOCK rows, whatever
+    n is, and only links leave them.
     """
     member = buckets.join(labels, "doc_id")
     open_ = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("n > 2 and lo < hi")
     blocks = member.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("k")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, "own").alias("x"), F.greatest(x, "own").alias("y"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
-    dealt = blocks.select("bucket", "doc_id", "component_id", F.explode(tiles).alias("tile")).select("bucket", "tile.x", "tile.y", "tile.side", "doc_id", "component_id")
-    return dealt.join(signed.select("doc_id", "signature"), "doc_id").groupBy("bucket", "x", "y").applyInPandas(compare_blocks(threshold), "a bigint, b bigint").distinct()
+    dealt = blocks.select("bucket", "band", "doc_id", "component_id", F.explode(tiles).alias("tile")).select("bucket", "band", "tile.x", "tile.y", "tile.side", "doc_id", "component_id")
+    full = dealt.join(signed.select("doc_id", "signature"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    return full.groupBy("bucket", "x", "y").applyInPandas(compare_blocks(percent, size), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -235,9 +258,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     stands = alike.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
     once = alike.join(stands, (alike["doc_id"] == stands["rep"]) & (alike["set_hash"] == stands["set_hash"]), "left_semi").dropDuplicates(["doc_id"])
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    banded = once.select("doc_id", F.explode(keys).alias("bucket"))
+    banded = once.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = common.materialize(banded.join(shared, "bucket").select("bucket", "doc_id", "a"), "buckets")
+    buckets = common.materialize(banded.join(shared, "bucket").select("bucket", "band", "doc_id", "a"), "buckets")
     pairs = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     sign = once.select(F.col("doc_id"), "signature")
     with_signs = pairs.join(sign.select(F.col("doc_id").alias("a"), F.col("signature").alias("sign_a")), "a").join(sign.select(F.col("doc_id").alias("b"), F.col("signature").alias("sign_b")), "b")
@@ -245,10 +268,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     links = common.materialize(verify(common.materialize(likely, "likely"), docs, percent, shingle_words), "links")
     labels = components(links)
     every = buckets.select("doc_id").distinct().join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    more = common.materialize(cross_pairs(buckets.select("bucket", "doc_id"), once, every, threshold), "across")
+    more = common.materialize(cross_links(buckets.select("bucket", "band", "doc_id"), once, every, docs, percent, shingle_words), "across")
     if not more.isEmpty():
-        more_links = verify(more, docs, percent, shingle_words)
-        labels = components(common.materialize(links.unionByName(more_links), "links"))
+        labels = components(links.unionByName(more))
     return label_all(signed, stands, labels)
 
 
