@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +15,9 @@ from termweave.operators.graph import Graph, clustering
 
 DAMPING, EPSILON, EPOCHS, BIAS = 0.85, 0.005, 50, 0.1
 UNBIASED, BIASED = ("PR", "IPR", "CC", "ICC"), ("BPR", "IBPR")
-#: Rounds that one plan holds when no convergence is tested.
-ROUNDS_PER_PLAN = 5
+#: Up to so many arcs, and so many ranks, rounds run on arrays in one task.
+SMALL = 500_000
+
 
 
 def pagerank(graph: Graph, biases: dict[str, float] | None = None, damping: float = DAMPING, epsilon: float = EPSILON, epochs: int = EPOCHS) -> DataFrame:
@@ -32,8 +37,11 @@ def batch_pagerank(graph: Graph, seeds: dict, damping: float = DAMPING, epsilon:
     All seeds share each round's joins; a seed that has converged keeps its ranks.
     """
     spark = graph.nodes.sparkSession
-    degree = graph.degrees()
     n = graph.nodes.count()
+    if n and seeds and n * len(seeds) <= SMALL and graph.arcs.count() <= SMALL:
+        rows = graph.nodes.select("term", F.lit(None).cast("string").alias("dst")).unionByName(graph.arcs.select(F.col("src").alias("term"), "dst"))
+        return rows.coalesce(1).mapInPandas(_rank_in_one(dict(seeds), damping, epsilon, epochs), "seed string, term string, rank double")
+    degree = graph.degrees()
     biased = [(s, t, float(b)) for s, own in seeds.items() for t, b in own.items()]
     scaled = [s for s, own in seeds.items() if own]
     shares = storage.cut(graph.arcs.join(degree.withColumnRenamed("term", "src"), "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")))
@@ -55,7 +63,7 @@ def batch_pagerank(graph: Graph, seeds: dict, damping: float = DAMPING, epsilon:
             fresh = fresh.alias("f").join(F.broadcast(total.alias("t")), F.col("f.seed").eqNullSafe(F.col("t.seed"))).select("f.*", F.when(F.col("scaled"), F.col("f.raw") / F.col("total")).otherwise(F.col("f.raw")).alias("put")).drop("raw").withColumnRenamed("put", "raw")
         if epsilon <= 0:
             state = fresh.select("seed", "term", "sink", "scaled", "factor", F.col("raw").alias("rank"), "done")
-            state = storage.cut(state) if step % ROUNDS_PER_PLAN == 0 and step < epochs else state
+            state = storage.cut(state)
             continue
         fresh = fresh.select("seed", "term", "sink", "scaled", "factor", F.when(F.col("done"), F.col("rank")).otherwise(F.col("raw")).alias("rank"), "done", F.abs(F.col("raw") - F.col("rank")).alias("change"))
         fresh = storage.cut(fresh)
@@ -66,6 +74,30 @@ def batch_pagerank(graph: Graph, seeds: dict, damping: float = DAMPING, epsilon:
     return state.select("seed", "term", "rank")
 
 
+def _rank_in_one(seeds: dict, damping: float, epsilon: float, epochs: int):
+    """The same rounds on arrays in one task, for a graph whose checked size is small."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        terms = np.array(sorted(rows.loc[rows["dst"].isna(), "term"]), dtype=object)
+        arcs = rows[rows["dst"].notna()]
+        src, dst = np.searchsorted(terms, arcs["term"].to_numpy()), np.searchsorted(terms, arcs["dst"].to_numpy())
+        n, degree = len(terms), np.bincount(src, minlength=len(terms))
+        for seed, biases in seeds.items():
+            rank = np.full(n, 1.0 / n)
+            factor = 1.0 + np.array([biases.get(t, 0.0) for t in terms])
+            for _ in range(epochs):
+                got = np.bincount(dst, weights=rank[src] / degree[src], minlength=n)
+                after = (1.0 - damping) / n + damping * rank[degree == 0].sum() / n + damping * got * factor
+                after = after / after.sum() if biases else after
+                change, rank = np.abs(after - rank).sum(), after
+                if change < epsilon:
+                    break
+            yield pd.DataFrame({"seed": [seed] * n, "term": terms, "rank": rank})
+
+    return run
+
+
 def metric(graph: Graph, name: str, seed: str | list[str] | None = None, bias: float | None = None, epsilon: float = EPSILON, epochs: int = EPOCHS) -> DataFrame:
     """One of PR, IPR, CC, ICC, BPR, IBPR as (term, value).
 

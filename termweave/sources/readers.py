@@ -45,8 +45,7 @@ def glossary(markup: DataFrame, column: str = "text") -> DataFrame:
 
 def article_titles(listing: DataFrame, column: str = "line") -> DataFrame:
     """(page_id, title, sections) of titles separated by "."; ``Title#A#B`` selects sections."""
-    page = text.strip(F.explode(F.split(F.col(column), r"\.")))
-    pages = listing.select(page.alias("page_id")).where("page_id <> ''")
+    pages = listing.select(F.explode(F.transform(F.split(F.col(column), r"\."), text.strip)).alias("page_id")).where("page_id <> ''")
     parts = F.split("page_id", "#")
     return pages.select("page_id", F.element_at(parts, 1).alias("title"), F.slice(parts, F.lit(2), F.size(parts)).alias("sections"))
 
