@@ -187,7 +187,7 @@ class Session:
         s = self.network.sentences.distinct().groupBy("src", "dst").agg(F.count("*").alias("c"))
         links = self.network.display.links()
         there = links.join(s, ["src", "dst"], "left").withColumnRenamed("c", "there")
-        back = there.join(s.withColumnsRenamed({"src": "dst", "dst": "src", "c": "back"}), ["src", "dst"], "left")
+        back = there.join(s.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("c").alias("back")), ["src", "dst"], "left")
         return back.select("src", "dst", (F.coalesce("there", F.lit(0)) + F.coalesce("back", F.lit(0))).alias("cnt"))
 
     def display(self) -> Display:

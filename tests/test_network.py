@@ -126,7 +126,7 @@ def test_network_properties(net):
 def test_session(net):
     s = Session.start(net).with_metric("PR").with_influence("positive", "linear").focus()
     assert s.ranks.groupBy("grp").sum("rank").first()[1] == pytest.approx(1.0)
-    s = s.amplify("goats").dampen("goat").highlight("Apple", "toggle")
+    s = s.amplify("goats").dampen("Goat").highlight("Apple", "toggle")
     assert s.dampened == {"goat"} and not s.amplified and s.highlighted == {"appl"}
     after, shown = s.ignore("moon").search("Apple")
     names = {r["name"]: r for r in shown.nodes.collect()}
