@@ -34,12 +34,16 @@ def anchors(text: Column) -> Column:
     """Hashes of a text's closed syncmers, distinct and sorted.
 
     Words are runs of characters other than ASCII white space. A text with fewer than K
-    words has one anchor, its whole word sequence; a text without words has none.
+    words has one anchor, its whole word sequence; a text without words has none. A text
+    of K to 13 words can lack a closed syncmer; all its K-mers are its anchors then, so
+    that it still meets near copies that have one.
     """
     words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
     def chosen(h: Column, low: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(low) - 1), lambda i: (F.get(low, i) == F.get(h, i)) | (F.get(low, i) == F.get(h, i + (K - 1))))
+        every = F.sequence(F.lit(0), F.size(low) - 1)
+        closed = F.filter(every, lambda i: (F.get(low, i) == F.get(h, i)) | (F.get(low, i) == F.get(h, i + (K - 1))))
+        at = let(closed, lambda found: F.when(F.size(found) > 0, found).otherwise(every))
         mer = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.array_sort(F.array_distinct(F.transform(at, mer)))
 

@@ -269,6 +269,23 @@ def test_syncmer_choice(spark):
     assert got == sorted(expected)
 
 
+def test_syncmers_of_short_texts(spark):
+    """Each text with words has an anchor: all K-mers where none is a closed syncmer."""
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(1 + i % 15)) for i in range(300)}
+    split = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").select("doc_id", syncmer.anchors(F.col("text")).alias("a"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    k, bare = syncmer.K, 0
+    for r in split.select("*", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - k)), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(k))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("mers")).collect():
+        n = len(r["h"])
+        assert r["a"], texts[r["doc_id"]]
+        if n >= k:
+            closed = [i for i in range(n - k + 1) if min(r["h"][i : i + k]) in (r["h"][i], r["h"][i + k - 1])]
+            assert r["a"] == sorted({r["mers"][i] for i in closed or range(n - k + 1)})
+            bare += not closed
+    assert bare > 10
+    got = syncmer.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["near_next"] for r in got} == {0.0}
+
+
 # 9
 
 
