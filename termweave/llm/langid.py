@@ -24,7 +24,8 @@ from termweave.llm import common, words
 #: Rows per language that fit the classifier, at most about so many (chosen by a hash).
 TRAINING_ROWS = 2_000
 TRAINING_PARTS = 4
-MOST_LANGUAGES = 256
+#: Tables are dense up to so many languages and sparse beyond; all languages are learned.
+DENSE_LANGUAGES = 256
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 14.0
 FLOOR = -5.0
@@ -36,13 +37,31 @@ HAS_LETTER = regex.compile(r"\p{L}")
 SPANS = "spans array<struct<start:int,end:int,lang:string>>"
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """Log likelihoods by bucket: each language's base, and what the buckets it has add."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    adds: np.ndarray
+
+    def sums(self, buckets: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Sum of each row's buckets for each language."""
+        k, first = len(self.base), self.starts[buckets]
+        sizes = self.starts[buckets + 1] - first
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        found = np.bincount(np.repeat(row, sizes) * k + self.langs[at], weights=self.adds[at], minlength=rows * k).reshape(rows, k)
+        return found + np.bincount(row, minlength=rows)[:, None] * self.base
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages and their tables: log likelihood by bucket, and allowed scripts."""
 
     langs: tuple[str, ...]
-    trigrams: np.ndarray
-    tokens: np.ndarray
+    trigrams: np.ndarray | Sparse
+    tokens: np.ndarray | Sparse
     scripts: np.ndarray
 
 
@@ -69,7 +88,9 @@ def count_features(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = words.find(raw, ends[a : b + 1], words.LETTER)
         for table, at in zip(counts, (trigram_buckets(found), found.hashes >> np.uint64(48), word_scripts(found))):
             table += np.bincount(at.astype(np.int64), minlength=len(table))
-    return pd.DataFrame({"lang": [key[0]], "counts": [np.concatenate(counts).astype("<i8").tobytes()]})
+    every = np.concatenate(counts)
+    at = np.flatnonzero(every)
+    return pd.DataFrame({"lang": [key[0]], "at": [at.astype("<i4").tobytes()], "counts": [every[at].astype("<i8").tobytes()]})
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:
@@ -82,35 +103,76 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
 
     Training rows have a text, a lang and no hold-out mark. All of a rarer language's
     rows are used; of a more frequent one a hash of doc_id picks its share. Their
-    counts are summed in a fixed number of groups.
+    counts are summed in a fixed number of groups. Every lang is learned, however many
+    there are.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros((8, 0), np.float32))
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))))
+    shares = docs.sparkSession.createDataFrame([(lang, rows / n) for lang, n in sizes.items() if n > rows], "lang string, share double")
     spot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000.0
-    sample = usable.where(spot < F.try_element_at(share, F.col("lang"))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(TRAINING_PARTS)))
-    parts = sample.groupBy("lang", "part").applyInPandas(count_features, "lang string, counts binary").collect()
-    langs = tuple(sorted({r["lang"] for r in parts}))
-    sums = {lang: np.zeros(2 * BUCKETS + 8) for lang in langs}
-    for r in parts:
-        sums[r["lang"]] += np.frombuffer(r["counts"], "<i8")
+    sample = usable.join(F.broadcast(shares), "lang", "left").where(spot < F.coalesce("share", F.lit(1.0))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(TRAINING_PARTS)))
+    parts = common.materialize(sample.groupBy("lang", "part").applyInPandas(count_features, "lang string, at binary, counts binary"), "languages")
+    found: dict[str, list] = {}
+    for r in parts.toLocalIterator():
+        found.setdefault(r["lang"], []).append((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["counts"], "<i8")))
+    langs = tuple(sorted(found))
+    dense = len(langs) <= DENSE_LANGUAGES
     trigrams, tokens, scripts = [], [], []
     for lang in langs:
-        three, whole, script = np.split(sums[lang], [BUCKETS, 2 * BUCKETS])
-        trigrams.append(np.log((three + 0.1) / (three.sum() + 0.1 * BUCKETS)))
-        tokens.append(np.log((whole + 0.5) / (whole.sum() + 0.5 * BUCKETS)))
+        at, counts = (np.concatenate(x) for x in zip(*found.pop(lang)))
+        three, whole, script = np.split(np.bincount(at, weights=counts, minlength=2 * BUCKETS + 8), [BUCKETS, 2 * BUCKETS])
+        for to, count, prior in ((trigrams, three, 0.1), (tokens, whole, 0.5)):
+            to.append(log_likelihood(count, prior) if dense else sparse_likelihood(count, prior))
         used = script >= 1e-4 * max(1.0, script.sum())
         scripts.append(np.where(used, 0.0, OUT_OF_SCRIPT))
     stack = lambda x: np.ascontiguousarray(np.stack(x, axis=1).astype(np.float32))
-    return Model(langs, stack(trigrams), stack(tokens), stack(scripts))
+    table = stack if dense else stack_sparse
+    return Model(langs, table(trigrams), table(tokens), stack(scripts))
+
+
+def log_likelihood(count: np.ndarray, prior: float) -> np.ndarray:
+    """Smoothed log likelihood of each bucket."""
+    return np.log((count + prior) / (count.sum() + prior * BUCKETS))
+
+
+def sparse_likelihood(count: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log likelihood of a bucket without a count, the others, and what they add."""
+    at = np.flatnonzero(count)
+    return np.log(prior / (count.sum() + prior * BUCKETS)), at.astype(np.int32), np.log((count[at] + prior) / prior).astype(np.float32)
+
+
+def stack_sparse(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> Sparse:
+    """Join the languages' buckets, ordered by bucket and then language."""
+    bucket = np.concatenate([at for _, at, _ in parts])
+    order = np.argsort(bucket, kind="stable")
+    langs = np.repeat(np.arange(len(parts), dtype=np.int32), [len(at) for _, at, _ in parts])
+    starts = np.append(0, np.cumsum(np.bincount(bucket, minlength=BUCKETS)))
+    return Sparse(np.array([base for base, *_ in parts]), starts, langs[order], np.concatenate([add for *_, add in parts])[order])
+
+
+def sparse_scores(model: Model, found: words.Words) -> np.ndarray:
+    """Log likelihood of each language for each word from sparse tables, by parts of the words."""
+    n, k = len(found.first), len(model.langs)
+    score = np.empty((n, k), np.float32)
+    buckets, whole = trigram_buckets(found), (found.hashes >> np.uint64(48)).astype(np.int64)
+    step = max(1, (1 << 20) // k)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        row = np.repeat(np.arange(b - a), found.lengths[a:b])
+        here = buckets[found.first[a] : found.first[b - 1] + found.lengths[b - 1]].astype(np.int64)
+        score[a:b] = model.trigrams.sums(here, row, b - a) + model.tokens.sums(whole[a:b], np.arange(b - a), b - a)
+    return score
 
 
 def word_scores(model: Model, found: words.Words) -> np.ndarray:
     """Log posterior of each language for each word, not below FLOOR."""
-    score = np.add.reduceat(model.trigrams[trigram_buckets(found)], found.first, axis=0)
-    score += model.tokens[(found.hashes >> np.uint64(48)).astype(np.int64)]
+    if isinstance(model.trigrams, Sparse):
+        score = sparse_scores(model, found)
+    else:
+        score = np.add.reduceat(model.trigrams[trigram_buckets(found)], found.first, axis=0)
+        score += model.tokens[(found.hashes >> np.uint64(48)).astype(np.int64)]
     score += model.scripts[word_scripts(found)]
     score -= score.max(axis=1, keepdims=True)
     score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
@@ -167,11 +229,12 @@ def label_batches(model_of, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_of.value
         names = np.array([*model.langs, UNDETERMINED], dtype=object)
+        most = common.CHUNK_BYTES * DENSE_LANGUAGES // max(DENSE_LANGUAGES, len(model.langs))
         for batch in batches:
             column = batch.column("text")
             raw, ends = common.text_buffers(column)
             labels, scores, counts, marks = [], [], [], []
-            for a, b in common.runs(ends):
+            for a, b in common.runs(ends, most):
                 letters = np.array([t is not None and HAS_LETTER.search(t) is not None for t in column.slice(a, b - a).to_pylist()])
                 best, share, switches, cut = label_run(model, raw, ends[a : b + 1], spans)
                 best = np.where(letters, best, len(model.langs))

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, common, components, langid, media, minhash, mixing, repeats, syncmer, toxicity, url_filter, warc
+from termweave.llm import bpe, common, components, langid, media, minhash, mixing, repeats, syncmer, toxicity, url_filter, warc, words
 
 WORDS = "the and of to in was for with river stone green cloud table window paper".split()
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_bytes string, score string, kept string"
@@ -358,6 +359,26 @@ def test_language_id(spark, docs, rows, none):
     assert labelled_.count() == len(rows) and labelled_.columns.count("score") == 1
 
 
+def test_language_id_of_many_languages(spark, monkeypatch):
+    """Languages beyond the 256 most frequent are learned, and sparse tables score as dense ones do."""
+    r = random.Random(6)
+    vocabulary = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(8)] for i in range(300)}
+    known = [(i, " ".join(r.choice(vocabulary[lang]) for _ in range(20)), lang) for i, lang in enumerate(list(vocabulary) * 6)]
+    table_ = spark.createDataFrame(known, "doc_id bigint, text string, lang string")
+    model = langid.train(table_)
+    assert len(model.langs) == 300
+    got = langid.identify(table_, model).join(table_, "doc_id").collect()
+    assert len(got) == len(known) and np.mean([x["lang_pred"] == x["lang"] for x in got]) > 0.98
+    few = table_.where("lang < 'l003'")
+    dense = langid.train(few)
+    monkeypatch.setattr(langid, "DENSE_LANGUAGES", 2)
+    sparse = langid.train(few)
+    raw, ends = common.text_buffers(pa.array([t for _, t, _ in known[:40]]))
+    found = words.find(raw, ends, words.LETTER)
+    assert isinstance(sparse.trigrams, langid.Sparse) and sparse.langs == dense.langs
+    assert np.allclose(langid.word_scores(sparse, found), langid.word_scores(dense, found), atol=1e-3)
+
+
 def test_viterbi_shortcut_agrees():
     r = np.random.default_rng(4)
     score = np.maximum(np.log(r.dirichlet(np.ones(4) * 0.3, size=900)), langid.FLOOR).astype(np.float32)
