@@ -200,9 +200,10 @@ def viterbi(score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
 def paths(score: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best label path over the words of each of many documents.
 
-    If no run of words gains more than one penalty by leaving a document's best total
-    language, no path with switches can beat the constant one; that test runs on all
-    documents at once. The others go through the recurrence.
+    A path with m switches has m + 1 runs at most that leave a document's best total
+    language, and pays m penalties. So if no run of words gains more than half a penalty
+    by leaving it (m / (m + 1) at m = 1), no path with switches can beat the constant
+    one; that test runs on all documents at once. The others go through the recurrence.
     """
     sizes = np.diff(bounds)
     full = np.flatnonzero(sizes)
@@ -216,7 +217,7 @@ def paths(score: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENALTY
     low = total - gain
     step = np.repeat(np.arange(len(full)) * (np.abs(total).max(initial=0.0) * 2 + 1.0), sizes[full])[:, None]
     low = np.minimum.accumulate(low - step, axis=0) + step
-    mixed = np.maximum.reduceat((total - low).max(axis=1), at) > penalty - 1e-3
+    mixed = np.maximum.reduceat((total - low).max(axis=1), at) > penalty / 2 - 1e-3
     for k in np.flatnonzero(mixed):
         a, b = at[k], at[k] + sizes[full[k]]
         path[a:b] = viterbi(score[a:b], penalty)

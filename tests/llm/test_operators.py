@@ -391,3 +391,10 @@ def test_viterbi_shortcut_agrees():
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b > a:
             assert value(got[a:b], score[a:b]) == pytest.approx(value(langid.viterbi(score[a:b]), score[a:b]), abs=1e-2)
+
+
+def test_viterbi_shortcut_of_two_halves():
+    """Two runs that gain less than a penalty each can beat it together."""
+    half = np.array([-0.1, -2.4, -5.0], np.float32)
+    score = np.concatenate([np.tile(half, (5, 1)), np.tile(half[::-1], (5, 1))])
+    assert langid.paths(score, np.array([0, 10])).tolist() == [0] * 5 + [2] * 5 == langid.viterbi(score).tolist()
