@@ -15,6 +15,8 @@ from termweave.llm import bpe, common, langid, minhash, mixing, repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text stays if one language covers at least this share of its letters.
 LEAST_SHARE = 0.4
+#: Copies of a document that are made from one array.
+COPIES_AT_ONCE = 1_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that the domains reach their target weights."""
     copies = mixing.mix(docs, common.read(spark, sf_dir, "labels")).where("copies > 0").select("doc_id", "copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")
-    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, times).select(*COLUMNS)
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES_AT_ONCE))).alias("_part")
+    times = F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES_AT_ONCE), F.col("copies") - F.col("_part") * COPIES_AT_ONCE))).alias("_copy")
+    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, "copies", parts).select(*COLUMNS, times).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

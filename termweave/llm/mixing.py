@@ -28,7 +28,6 @@ TRAINING_ROWS = 2_500
 EPOCHS = 3
 MOST_STEPS = 40
 CLOSE = 1e-6
-MOST_COPIES = 1_000
 SHAPE = np.array([1 if chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 4 if b >= 128 else 5 + b % 59 for b in range(256)], dtype=np.int64)
 BIAS = 1 << BITS
 
@@ -202,7 +201,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], [*batch.schema.names, "rate"])
 
     rated = soft.mapInArrow(rate_batches, "doc_id bigint, n_tokens bigint, " + ", ".join(f"{d} double" for d in DOMAINS) + ", rate double")
-    return rated.withColumn("copies", F.least(F.lit(MOST_COPIES), F.floor(F.col("rate") + uniform(F.col("doc_id")))).cast("long"))
+    return rated.withColumn("copies", F.floor(F.col("rate") + uniform(F.col("doc_id"))).cast("long"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

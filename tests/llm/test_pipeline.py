@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 from tests.llm.test_operators import brute_components, labelled, prose
-from termweave.llm import common
+from termweave.llm import common, mixing
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +36,15 @@ def test_stages(spark, tmp_path):
     assert set(mixed["doc_id"]) <= set(cut["doc_id"]) and len(mixed) > 0.5 * len(cut)
     last = cp.STAGES[-1][1](spark, now, folder).toPandas()
     assert len(last) == len(mixed) and (last["n_tokens"] == last["ids"].str.len()).all()
+
+
+def test_many_copies(spark, tmp_path, monkeypatch):
+    """A rate beyond a thousand is emitted in full."""
+    docs, labels = labelled(spark, 30)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(mixing, "fit_rates", lambda soft, targets: [np.array([-2_499.25] * 3)])
+    some = docs.where("doc_id < 4")
+    found = mixing.mix(some, labels).collect()
+    assert all(abs(r["copies"] - r["rate"]) < 1 and abs(r["rate"] - 2_500.25) < 1e-6 for r in found)
+    made = {r["doc_id"]: r["count"] for r in cp.mixing_rates(spark, some, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert made == {r["doc_id"]: r["copies"] for r in found}
