@@ -245,18 +245,28 @@ def cross_links(buckets: DataFrame, signed: DataFrame, labels: DataFrame, docs:
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Give each document its set size, its component and whether it stays.
 
-    Needs (doc_id, text) with distinct, non-null doc_ids; rows without doc_id get a null
-    component and stay. Repeated doc_ids count as one document each with the set of its
-    first row in text order. Null, empty and blank texts have no shingles and are
-    linked with nothing. An empty table gives an empty one.
+    One row comes out for each row of (doc_id, text). Rows without doc_id stay.
+    Repeated doc_ids count as one document each with the set of its first row in text
+    order; only if there are any is the table reduced to those. Null, empty and blank
+    texts have no shingles and are linked with nothing. An empty table gives an empty one.
     """
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return distinct_documents(docs, shingle_words, percent)
+    first = named.groupBy("doc_id").agg(F.min("text").alias("text")).unionByName(docs.where(F.col("doc_id").isNull()).select("doc_id", "text"))
+    judged = distinct_documents(common.materialize(first, "first"), shingle_words, percent)
+    return named.select("doc_id").join(judged, "doc_id").unionByName(judged.where(F.col("doc_id").isNull()))
+
+
+def distinct_documents(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The same for documents without repeated doc_ids."""
     threshold = percent / 100
     schema = SIGNED
     signed = common.materialize(docs.select("doc_id", "text").mapInArrow(sign_batches(shingle_words), schema), "signed")
     # equal sets: one member stands for all
     alike = signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     stands = alike.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    once = alike.join(stands, (alike["doc_id"] == stands["rep"]) & (alike["set_hash"] == stands["set_hash"]), "left_semi").dropDuplicates(["doc_id"])
+    once = alike.join(stands, (alike["doc_id"] == stands["rep"]) & (alike["set_hash"] == stands["set_hash"]), "left_semi")
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
     banded = once.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")

@@ -112,6 +112,17 @@ def test_near_duplicates(spark, rows, none, monkeypatch, block):
         assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with several texts is one document with the least of them."""
+    low, high = "a " + prose(31, 60), "z " + prose(32, 60)
+    texts = [(1, high), (1, low), (1, None), (2, low + " end"), (3, high + " end"), (3, high + " end"), (4, high), (None, low)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = minhash.near_duplicates(docs, shingle_words=4).collect()
+    expected = brute_components({1: low, 2: low + " end", 3: high + " end", 4: high}, 4)
+    assert sorted(r["doc_id"] for r in got if r["doc_id"]) == [1, 1, 1, 2, 3, 3, 4] and len(got) == len(texts)
+    assert all((r["n_shingles"], r["component_id"]) == expected[r["doc_id"]] for r in got if r["doc_id"])
+
+
 def test_bayes_bounds():
     least = minhash.least_agreeing(0.8, 1e-9)
     assert 0 < least[64] < least[128] < 0.8 * 128
