@@ -205,21 +205,29 @@ def store_documents(docs: DataFrame) -> DataFrame:
     return common.materialize(docs.select("doc_id", "text").mapInArrow(store, STORED), "media")
 
 
-def resolve(stored: DataFrame) -> DataFrame:
-    """Join each document's media references with what their payloads hold.
-
-    Copies of a payload are reduced to one row before the join. The join has the
-    reference's digest and size as keys, so that a digest which very many documents
-    refer to is split by the engine rather than dealt to one task.
+def resolve(sequences: DataFrame, stored: DataFrame | None = None, items: str = "refs") -> DataFrame:
+    """One row for each item of each sequence, with what a media item's payload holds.
+
+    ``sequences`` has any columns and one of items, as :func:`parse_pages` makes them
+    (columns named like an item's or a payload's field give way to those);
+    ``stored`` has digest and media and is ``sequences`` itself if not given. Text items
+    and references without a stored payload stay at their positions with nulls for the
+    payload; a sequence without items gives no row. Copies of a payload are reduced to
+    one row before the join. The join has the digest's beginning as a second key, so
+    that it is dealt anew and a digest which very many documents refer to is split by
+    the engine rather than dealt to one task.
     """
-    held = stored.select("digest", "media").mapInArrow(read_back, READ_BACK)
+    held = (sequences if stored is None else stored).select("digest", "media").mapInArrow(read_back, READ_BACK)
     once = held.groupBy("digest").agg(*(F.first(c).alias(c) for c in held.columns if c != "digest"))
-    refs = stored.select("doc_id", "n_bytes", "n_items", F.explode("refs").alias("ref")).select(
-        "doc_id", "n_bytes", "n_items", F.col("ref.position").alias("position"), F.col("ref.caption").alias("caption"), F.col("ref.digest").alias("digest"),
-        F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / WIDTH)).cast("long").alias("lines"),
-    )
-    keyed = once.withColumn("lines", (F.col("payload_bytes") / WIDTH).cast("long"))
-    return refs.join(keyed, ["digest", "lines"]).drop("lines")
+    fields = ["position", "kind", "text", "digest", "caption"]
+    payload = [c for c in once.columns if c != "digest"]
+    keep = [c for c in sequences.columns if c not in {items, "media", *fields, *payload}]
+    found = sequences.select(*keep, F.explode(items).alias("_item")).select(*keep, *(F.col(f"_item.{f}").alias(f) for f in fields))
+    # items without a digest join with nothing; each has a key of its own, so that they are not dealt to one task
+    to = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64(*fields, F.monotonically_increasing_id()).cast("string")))
+    left = found.withColumns({"_digest": to, "_head": F.substring(to, 1, 8)})
+    right = once.withColumns({"_digest": F.col("digest"), "_head": F.substring("digest", 1, 8)}).drop("digest")
+    return left.join(right, ["_digest", "_head"], "left").select(*keep, *fields, *payload)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

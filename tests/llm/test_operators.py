@@ -183,6 +183,18 @@ def test_media(spark, docs, rows, none):
     assert items[1]["items"] == []
 
 
+def test_media_of_sequences(spark):
+    """Text items and unresolved references keep their positions beside resolved media."""
+    payloads = {hashlib.sha256(p).hexdigest(): p for p in (media.pad(b"one"), media.pad(b"two" * 500))}
+    one, two = payloads
+    html = f'<p>start</p><img src="sha256:{two}" alt="b"><p>middle</p><img src="u.png" alt="gone"><img src="sha256:{one}" alt="a"><img src="sha256:{two}">end'
+    pages = media.parse_pages(spark.createDataFrame([(1, html), (2, None), (3, "only text")], "page_id int, html string"))
+    stored = spark.createDataFrame([(d, bytearray(media.png(p))) for d, p in [*payloads.items(), (two, payloads[two])]], "digest string, media binary")
+    rows = sorted(media.resolve(pages, stored, "items").collect(), key=lambda r: (r["page_id"], r["position"]))
+    got = [(r["page_id"], r["position"], r["text"] or r["digest"], r["caption"], r["payload_sha256"]) for r in rows]
+    assert got == [(1, 0, "start", None, None), (1, 1, two, "b", two), (1, 2, "middle", None, None), (1, 3, "u.png", "gone", None), (1, 4, one, "a", one), (1, 5, two, None, two), (1, 6, "end", None, None), (3, 0, "only text", None, None)]
+
+
 # 5
 
 
