@@ -1,13 +1,13 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
 Encoding reads symbols from left to right and emits a token as soon as no text that
-may still follow can change it. How far ahead that takes is a constant of the merge
-list (:func:`sufficient_lookahead`), so a symbol run of any length needs memory for
-the lookahead and one block only. Decoding turns ids into text through a state
-machine that keeps at most one unfinished UTF-8 sequence.
+may still follow can change it. How far ahead that takes is computed from the merge
+list, for each token (:func:`sufficient_lookahead`). A text is read in chunks, and a
+word of any length goes through the transducer part by part, so that beside the row
+itself only one chunk and the lookahead are held. Decoding turns ids into text through
+a state machine that keeps at most one unfinished UTF-8 sequence.
 
-Plain white-space-delimited pieces are short and repeat, so their ids are kept in a
-bounded table; the transducer runs on what is not in the table.
+Words repeat, so what the transducer gave for a short word is kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from termweave.llm import common
 TOKENIZER = "word_bpe_49k.json"
 KEPT_PIECES = 400_000
 LONGEST_KEPT = 64
-BLOCK = 4_096
+#: Symbols beyond the lookahead that are merged at a time; characters that are read at a time.
+BLOCK, CHUNK = 256, 1 << 16
 NEVER = 1 << 30
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -46,26 +47,24 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-def sufficient_lookahead(merges: Iterable[tuple[str, str]]) -> int:
-    """Symbols after a token's end that can still change it, for a list of merges.
+def sufficient_lookahead(merges: Iterable[tuple[str, str]], size: Callable[[str], int] = len) -> dict[str, int]:
+    """For each token, the symbols after its end that can still change it.
 
-    A merge (u, v) fails to happen, or happens elsewhere, only if an earlier merge
-    takes symbols at v's right end: some suffix of v is then a proper prefix of what
-    that merge makes, and that merge may in turn depend on a still earlier one. Chains
-    go to strictly earlier merges, so the longest is found in one pass over the list:
-    ``reach[p]`` is the most symbols, counted from the start of prefix p, that such a
-    chain spans. Each symbol is one character here.
+    A token t at the end of what was read changes only if a merge (u, w) takes place
+    whose u is t, or was the last part of t for a while (t's last part, that one's last
+    part, and so on, each until t's own merges used it up), and whose w lies behind t.
+    Whether w forms there in time depends on what is behind w in the same way, by
+    strictly earlier merges only. So one pass over the list finds the longest chain:
+    ``reach`` is the most symbols that merges so far take behind a left part, ``inside``
+    the same for the last parts of a token up to when they were used up.
     """
     reach: dict[str, int] = {}
-    most = 1
-    for u, v in merges:
-        ahead = max((reach.get(v[-n:], 0) - n for n in range(1, len(v) + 1)), default=0)
-        whole, span = u + v, len(u) + len(v) + max(0, ahead)
-        for n in range(1, len(whole)):
-            if reach.get(whole[:n], 0) < span:
-                reach[whole[:n]] = span
-        most = max(most, span)
-    return most
+    inside: dict[str, int] = {}
+    for u, w in merges:
+        behind = max(reach.get(w, 0), inside.get(w, 0))
+        reach[u] = max(reach.get(u, 0), size(w) + behind)
+        inside[u + w] = max(inside.get(u + w, 0), behind)
+    return {t: max(reach.get(t, 0), inside.get(t, 0)) for t in reach.keys() | inside.keys()}
 
 
 class Bpe:
@@ -88,15 +87,13 @@ class Bpe:
         # \s is spelt out: the pattern language of the file counts no separators 1C-1F as space
         self.words = regex.compile(splits[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACE}"))
         self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.lookahead = sufficient_lookahead((self._single(u), self._single(v)) for u, v in pairs)
+        self.ahead = sufficient_lookahead(pairs, self.size)
+        self.lookahead = max(self.ahead.values(), default=0)
         self.kept: dict[str, bytes] = {}
 
-    def _single(self, token: str) -> str:
-        """Write a token with one character for each symbol."""
-        if self.suffix and token.endswith(self.suffix):
-            body = token[: -len(self.suffix)]
-            return body[:-1] + chr(0xE000 + ord(body[-1])) if body else ""
-        return token
+    def size(self, token: str) -> int:
+        """Number of symbols of a token; the end-of-word mark is part of the last one."""
+        return len(token) - len(self.suffix) if self.suffix and token.endswith(self.suffix) else len(token)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply all merges, the earliest first and from the left among equals."""
@@ -133,31 +130,10 @@ class Bpe:
                     heapq.heappush(heap, (hit[0], x, parts[x], parts[y]))
         return [p for p in parts if p is not None]
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Emit the tokens of a symbol stream, each once it is stable.
-
-        A token is stable when ``lookahead`` symbols after its end have been read. No
-        merge crosses an emitted boundary, so what is right of it can be merged alone.
-        """
-        held: list[str] = []
-        for symbol in symbols:
-            held.append(symbol)
-            if len(held) >= self.lookahead + BLOCK:
-                done, limit = 0, len(held) - self.lookahead
-                for token in self.merge(list(held)):
-                    size = len(self._single(token))
-                    if done + size > limit:
-                        break
-                    yield token
-                    done += size
-                del held[:done]
-        yield from self.merge(held)
-
-    def symbols(self, word: str) -> list[str]:
-        """Byte symbols of a word; the last one carries the end-of-word mark."""
-        made = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
-        made[-1] += self.suffix
-        return made
+    def ids(self, tokens: Iterable[str]) -> bytes:
+        """Packed ids of tokens; symbols without an id are left out, as the library does."""
+        found = [at for t in tokens if (at := self.vocab.get(t)) is not None]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def keep(self, piece: str, packed: bytes) -> None:
         """Keep a piece's ids; the table starts anew when it is full."""
@@ -174,54 +150,168 @@ class Bpe:
                 packed = b"".join([self.kept.get(w) or self.piece(w) for w in words])
                 self.keep(piece, packed)
                 return packed
-            vocab = self.vocab
-            ids = [vocab[t] for w in words for t in (self.merge(self.symbols(w)) if len(w) <= LONGEST_KEPT else self.stream(self.symbols(w))) if t in vocab]
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+            packed = b"".join([self.ids(t) for w in words for t in self.word(w)])
             if len(piece) <= LONGEST_KEPT:
                 self.keep(piece, packed)
         return packed
 
-    def encode(self, text: str) -> Iterator[bytes]:
+    def word(self, word: str) -> Iterator[list[str]]:
+        """Tokens of a word as they become stable."""
+        machine = Transducer(self)
+        for at in range(0, len(word), CHUNK):
+            yield machine.push(word[at : at + CHUNK])
+        yield machine.finish()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """Special tokens and what lies between them."""
+        at = 0
+        if self.specials and "<|" in text:
+            for m in self.specials.finditer(text):
+                yield text[at : m.start()]
+                yield m[0]
+                at = m.end()
+        yield text[at:] if at else text
+
+    def encode(self, text: str, chunk: int = CHUNK) -> Iterator[bytes]:
         """Packed little-endian ids of a text, part by part."""
-        for part in self.specials.split(text) if self.specials and "<|" in text else (text,):
+        for part in self.parts(text):
             if part in self.added:
                 yield struct.pack("<I", self.added[part])
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            part = part.lower()
-            pieces = re.split(f"[{SPACE}]+", part) if re.search("[\x1c-\x1f]", part) else part.split()
-            kept, make = self.kept, self.piece
-            for at in range(0, len(pieces), 50_000):
-                yield b"".join([kept.get(p) or make(p) for p in pieces[at : at + 50_000]])
-
-    def decode(self, ids: Iterable[array]) -> Iterator[bytes]:
-        """UTF-8 of the tokens joined by blanks, as a file without a decoder has it."""
-        tokens, first = self.tokens, True
-        for some in ids:
-            if some:
-                yield (b"" if first else b" ") + b" ".join(map(tokens.__getitem__, some))
-                first = False
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Plain text of ids: a state machine from bytes to characters.
-
-        Its state is the unfinished UTF-8 sequence; the end-of-word mark gives a blank.
-        Bytes that are no UTF-8 become U+FFFD.
-        """
-        back = {c: b for b, c in enumerate(self.alphabet)}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        special = set(self.added.values())
-        for at in ids:
-            token = self.tokens[at].decode()
-            if at in special:
-                yield machine.decode(b"", final=True) + token
-                machine.reset()
-                continue
-            ends = bool(self.suffix) and token.endswith(self.suffix)
-            body = token[: -len(self.suffix)] if ends else token
-            yield machine.decode(bytes(back[c] for c in body)) + (" " if ends else "")
-        yield machine.decode(b"", final=True)
+            machine: Transducer | None = None  # of a word that the last chunk left open
+            for some, goes_on in chunks(part, chunk):
+                if machine:
+                    more = LETTERS.match(some).end()
+                    yield self.ids(machine.push(some[:more]))
+                    if more == len(some) and goes_on:
+                        continue
+                    yield self.ids(machine.finish())
+                    machine, some = None, some[more:]
+                pieces = re.split(f"[{SPACE}]+", some) if re.search("[\x1c-\x1f]", some) else some.split()
+                if goes_on and pieces and (words := self.words.findall(pieces[-1]))[-1][0].isalpha():
+                    pieces[-1:] = words[:-1]
+                    machine = Transducer(self)
+                kept, make = self.kept, self.piece
+                yield b"".join([kept.get(p) or make(p) for p in pieces])
+                if machine:
+                    yield self.ids(machine.push(words[-1]))
+
+
+LETTERS = regex.compile(r"\p{L}*")
+BLANKS = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
+
+
+def chunks(text: str, size: int) -> Iterator[tuple[str, bool]]:
+    """A text in normalized lower-case chunks, each with whether it ends inside a run of letters.
+
+    Chunks end before white space; where there is none for long, inside a run of
+    letters, before one that no normalization joins with what precedes it.
+    """
+    at = 0
+    while at < len(text):
+        stop, hard = at + size, False
+        if stop < len(text):
+            stop, hard = cut(text, at + size // 2, stop)
+        some, at = text[at:stop], stop
+        if not some.isascii():
+            some = unicodedata.normalize("NFC", some).replace("Σ", "σ")
+        yield some.lower(), hard
+
+
+def cut(text: str, least: int, stop: int) -> tuple[int, bool]:
+    """The last white space from ``least`` to ``stop``, else the first place from there on that may be cut."""
+    for at in range(stop, least, -1):
+        if text[at] in BLANKS:
+            return at, False
+    while stop < len(text):
+        c = text[stop]
+        if c in BLANKS:
+            return stop, False
+        # vowel and final jamo are the only letters that join with what precedes them
+        if c.isalpha() and unicodedata.category(c)[0] == "L" and not "\u1161" <= c <= "\u11ff" and text[stop - 4 : stop].isalpha():
+            return stop, True
+        stop += 1
+    return stop, False
+
+
+class Transducer:
+    """The symbols of one word in, its tokens out, each once it is stable.
+
+    A token is stable when as many symbols after its end have been read as can still
+    change it, and all before it are. No merge crosses the end of an emitted token, so
+    what is right of it can be merged alone.
+    """
+
+    def __init__(self, model: Bpe) -> None:
+        self.model = model
+        self.held: list[str] = []
+
+    def push(self, letters: str) -> list[str]:
+        """Read some more of the word."""
+        alphabet, out = self.model.alphabet, []
+        raw = letters.encode("utf-8", "surrogatepass")
+        for at in range(0, len(raw), BLOCK):
+            self.held += [alphabet[b] for b in raw[at : at + BLOCK]]
+            if len(self.held) > self.model.lookahead + BLOCK:
+                self.emit(out)
+        return out
+
+    def emit(self, out: list[str]) -> None:
+        """Move what is stable to ``out``; the last symbol may still get the end-of-word mark."""
+        done, size, ahead = 0, self.model.size, self.model.ahead
+        for token in self.model.merge(self.held[:-1]):
+            end = done + size(token)
+            if len(self.held) - 1 - end < ahead.get(token, 0):
+                break
+            out.append(token)
+            done = end
+        del self.held[:done]
+
+    def finish(self) -> list[str]:
+        """The word ends: its last symbol gets the mark and all the rest is stable."""
+        if not self.held:
+            return []
+        self.held[-1] += self.model.suffix
+        rest, self.held = self.model.merge(self.held), []
+        return rest
+
+
+class Decoder:
+    """The state machine from ids to text; its state is the unfinished UTF-8 sequence.
+
+    As the file has no decoder, the text is its tokens joined by blanks, which is what
+    the library gives. With ``plain`` the tokens' bytes become text and the end-of-word
+    mark a blank. Bytes that are no UTF-8 become U+FFFD.
+    """
+
+    def __init__(self, model: Bpe, plain: bool = False) -> None:
+        self.model, self.plain, self.first = model, plain, True
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.back = {c: b for b, c in enumerate(model.alphabet)}
+        self.special = set(model.added.values())
+
+    def push(self, ids: Iterable[int]) -> str:
+        if self.plain:
+            return "".join([self.one(at) for at in ids])
+        joined = b" ".join(map(self.model.tokens.__getitem__, ids))
+        if joined and not self.first:
+            joined = b" " + joined
+        self.first &= not joined
+        return self.machine.decode(joined)
+
+    def one(self, at: int) -> str:
+        """Plain text that one more id completes."""
+        token, suffix = self.model.tokens[at].decode(), self.model.suffix
+        if at in self.special:
+            return self.finish() + token
+        ends = bool(suffix) and token.endswith(suffix)
+        body = token[: -len(suffix)] if ends else token
+        return self.machine.decode(bytes(self.back[c] for c in body)) + (" " if ends else "")
+
+    def finish(self) -> str:
+        rest = self.machine.decode(b"", final=True)
+        self.machine.reset()
+        return rest
 
 
 @lru_cache(maxsize=2)
@@ -230,16 +320,17 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def digests(model: Bpe, text: str | None) -> tuple[int, str, str]:
-    """Token count, digest of the packed ids and digest of the decoded text."""
-    ids_hash, text_hash, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
+def digests(model: Bpe, text: str | None, keep: list | None = None) -> tuple[int, str, str]:
+    """Token count, digest of the packed ids and digest of the decoded text; ``keep`` gets the ids."""
+    ids_hash, text_hash, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, Decoder(model)
     for packed in model.encode(text or ""):
         ids_hash.update(packed)
         ids = array("I", packed)
         n += len(ids)
-        for out in model.decode([ids]):
-            text_hash.update(out if first else b" " + out)
-            first = False
+        text_hash.update(decoder.push(ids).encode())
+        if keep is not None:
+            keep.append(ids)
+    text_hash.update(decoder.finish().encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
@@ -281,7 +372,10 @@ def encode_column(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
 
 
 def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
-    """Each row's doc_id, lang and source with its ids and the digest columns."""
+    """Each row's doc_id, lang and source with its ids and the digest columns.
+
+    One row out for each row in, whatever is null or repeated; a null text has no ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
@@ -290,13 +384,9 @@ def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 512)
                 ids, rows = [], []
                 for text in part.column("text").to_pylist():
-                    packed = b"".join(model.encode(text or ""))
-                    own = array("I", packed)
-                    decoded = hashlib.sha256()
-                    for out in model.decode([own]):
-                        decoded.update(out)
-                    ids.append(own)
-                    rows.append((len(own), hashlib.sha256(packed).hexdigest(), decoded.hexdigest()))
+                    own: list[array] = []
+                    rows.append(digests(model, text, own))
+                    ids.append(sum(own, array("I")))
                 n, digest, decoded = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(digest), pa.array(decoded)], ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
