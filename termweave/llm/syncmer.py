@@ -4,6 +4,10 @@ A text's words are hashed. Of each run of K words, the inner runs of S = 1 word
 compared by hash; the K-mer is a closed syncmer, and so an anchor, if the smallest of
 them is the first or the last. Whether a K-mer is chosen depends on nothing outside it, so equal
 passages choose equal anchors wherever they stand.
+
+A fingerprint holds each anchor with the place where it first stands. Two fingerprints
+are matched by position: anchors that both have count if they are shifted by about as
+much as most others, so passages in another order do not add up.
 """
 
 from __future__ import annotations
@@ -16,6 +20,10 @@ from pyspark.sql import functions as F
 from termweave.llm import common
 
 K = 8
+#: Parts of an anchor's number: its hash, its place, and the mark of the second of two fingerprints.
+HASH, PLACE, OTHER = -(1 << 32), (1 << 31) - 1, 1 << 31
+#: Scripts that are written without blanks between words.
+UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 #: Range buckets per shuffle partition for the order of documents, and buckets at most.
 BUCKETS_PER_PARTITION, MOST_BUCKETS = 8, 20_000
 
@@ -30,43 +38,70 @@ def neighbours(values: Column, ahead: int, join: Callable[[Column, Column], Colu
     return let(values, lambda v: F.when(F.size(v) > ahead, F.zip_with(F.slice(v, 1, F.size(v) - ahead), F.slice(v, ahead + 1, F.size(v) - ahead), join)).otherwise(F.slice(v, 1, 0)))
 
 
+def words_of(text: Column) -> Column:
+    """Words of a text: characters of scripts without blanks one by one, else runs without white space."""
+    spaced = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+    single = F.regexp_extract_all(text, F.lit(f"[{UNSPACED}]|[^ \\t-\\r{UNSPACED}]+"), 0)
+    return F.when(F.rlike(text, F.lit(f"[{UNSPACED}]")), single).otherwise(spaced)
+
+
 def anchors(text: Column) -> Column:
-    """Hashes of a text's closed syncmers, distinct and sorted.
+    """A text's anchors as numbers: the hash in the upper 32 bits, the word's place below.
 
-    Words are runs of characters other than ASCII white space. A text with fewer than K
-    words has one anchor, its whole word sequence; a text without words has none. A text
-    of K to 13 words can lack a closed syncmer; all its K-mers are its anchors then, so
-    that it still meets near copies that have one.
+    They are sorted, and each hash is there once, with its first place. A text with
+    fewer than K words has its single words as anchors; a text without words has none. A
+    text of K to 13 words can lack a closed syncmer; all its K-mers are its anchors then,
+    so that it still meets near copies that have one.
     """
-    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
     def chosen(h: Column, low: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(low) - 1)
         closed = F.filter(every, lambda i: (F.get(low, i) == F.get(h, i)) | (F.get(low, i) == F.get(h, i + (K - 1))))
         at = let(closed, lambda found: F.when(F.size(found) > 0, found).otherwise(every))
-        mer = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.array_sort(F.array_distinct(F.transform(at, mer)))
+        mer = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))
+        return F.transform(at, lambda i: mer(i).bitwiseAND(HASH).bitwiseOR(i.cast("long")))
 
     def of_hashes(h: Column) -> Column:
         least = h
         for ahead in (1, 2, 4):  # the least of 2, 4 and then all K = 8 words from each place on
             least = neighbours(least, ahead, lambda a, b: F.least(a, b))
-        few = F.when(F.size(h) > 0, F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array().cast("array<bigint>"))
+        few = F.transform(h, lambda x, i: F.xxhash64(x).bitwiseAND(HASH).bitwiseOR(i.cast("long")))
         return F.when(F.size(h) >= K, let(least, lambda low: chosen(h, low))).otherwise(few)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
+    every = let(F.transform(words_of(text), lambda w: F.xxhash64(w)), of_hashes)
+    return let(F.sort_array(every), lambda s: F.filter(s, lambda v, i: (i == 0) | (v.bitwiseAND(HASH) != F.get(s, i - 1).bitwiseAND(HASH))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared anchors over all anchors of two fingerprints; 1 if both have none."""
-    shared = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - shared
-    return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
+    """Anchors of both fingerprints at matching places, over all anchors of either.
+
+    Places match if their shift differs from the median shift of all common anchors by
+    at most K words and about an eighth of the text (an anchor stands for four words).
+    Two texts without words are alike, and like no other.
+    """
+    both = F.sort_array(F.concat(a, F.transform(b, lambda v: v.bitwiseOR(OTHER))))
+    place = lambda v: v.bitwiseAND(PLACE)
+
+    def shifts(m: Column) -> Column:
+        met = F.filter(m, lambda v, i: (i > 0) & (v.bitwiseAND(HASH) == F.get(m, F.greatest(i - 1, F.lit(0))).bitwiseAND(HASH)))
+        # a common anchor's first number is the greatest one below its second
+        first = F.filter(m, lambda v, i: F.get(m, i + 1).bitwiseAND(HASH) == v.bitwiseAND(HASH))
+        return F.sort_array(F.zip_with(first, met, lambda x, y: place(y) - place(x)))
+
+    def matched(s: Column) -> Column:
+        middle = F.get(s, F.floor(F.size(s) / 2).cast("int"))
+        near = F.size(F.filter(s, lambda x: F.abs(x - middle) <= K + (F.size(a) + F.size(b)) / 4))
+        every = F.size(a) + F.size(b) - F.size(s)
+        return F.when(every == 0, F.lit(1.0)).otherwise(near / every)
+
+    return let(let(both, shifts), matched)
 
 
 def shown(fingerprint: Column) -> Column:
-    """A fingerprint as one string: the anchors in hexadecimal, joined by commas."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ",")
+    """A fingerprint as one string: anchors in hexadecimal with their places, in order of place."""
+    by_place = F.sort_array(F.transform(fingerprint, lambda v: F.shiftleft(v, 32).bitwiseOR(F.shiftrightunsigned(v, 32))))
+    one = lambda v: F.concat(F.lpad(F.lower(F.hex(v.bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("@"), F.shiftright(v, 32).cast("string"))
+    return F.array_join(F.transform(by_place, one), ",")
 
 
 NO_ID = -(1 << 63)
@@ -112,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third replaced by the beginning of the next row's
     text, rows taken by descending doc_id and the last followed by the first. A null
-    text counts as empty; an empty fingerprint is like another empty one only. A single
+    text counts as empty; a text without words is like another such one only. A single
     row is its own successor. Repeated rows stay repeated.
     """
     clean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
