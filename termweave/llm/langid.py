@@ -1,8 +1,8 @@
 """Language ID: script ranges narrow the candidates, Viterbi labels spans.
 
-Each word gets a score for every language: the log likelihood of its bytes' trigrams
-and of the word itself. Languages whose training text does not use the word's script
-are out. A Viterbi path over the words with a penalty for each switch labels spans of
+A word's script leaves as candidates the languages whose training text uses it. Each of
+these gets a score: the log likelihood of the word's bytes' trigrams and of the word
+itself, as a posterior among the candidates. A Viterbi path over the words with a penalty for each switch labels spans of
 mixed-language text; a document's language is the one with the most labelled letters.
 """
 
@@ -29,9 +29,21 @@ DENSE_LANGUAGES = 256
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 14.0
 FLOOR = -5.0
-OUT_OF_SCRIPT = -30.0
-#: Lead bytes of UTF-8 by script range: 0 ASCII, 1 Latin, 2 Greek, 3 Cyrillic, 4 Hebrew and Arabic, 5 South Asian, 6 East Asian, 7 other.
-SCRIPT = np.array([0 if b < 0xC2 else 1 if b <= 0xCB else 2 if b <= 0xCF else 3 if b <= 0xD3 else 4 if b <= 0xDF else 5 if b == 0xE0 else 1 if b in (0xE1, 0xE2) else 6 if b <= 0xED else 7 for b in range(256)], dtype=np.uint8)
+#: Score of a language that is no candidate for a word; one foreign name costs less than two switches.
+OUT_OF_SCRIPT = -10.0
+#: Scripts by their code points, Latin first; what is in none of them is of no script.
+RANGES = (
+    ("Latin", 0x41, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x370, 0x3FF), ("Greek", 0x1F00, 0x1FFF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F),
+    ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Syriac", 0x700, 0x74F), ("Arabic", 0x750, 0x77F), ("Thaana", 0x780, 0x7BF), ("Nko", 0x7C0, 0x7FF),
+    ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Gurmukhi", 0xA00, 0xA7F), ("Gujarati", 0xA80, 0xAFF), ("Oriya", 0xB00, 0xB7F), ("Tamil", 0xB80, 0xBFF),
+    ("Telugu", 0xC00, 0xC7F), ("Kannada", 0xC80, 0xCFF), ("Malayalam", 0xD00, 0xD7F), ("Sinhala", 0xD80, 0xDFF), ("Thai", 0xE00, 0xE7F), ("Lao", 0xE80, 0xEFF),
+    ("Tibetan", 0xF00, 0xFFF), ("Myanmar", 0x1000, 0x109F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Ethiopic", 0x1200, 0x139F), ("Khmer", 0x1780, 0x17FF),
+    ("Mongolian", 0x1800, 0x18AF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF), ("Han", 0xF900, 0xFAFF), ("Han", 0x20000, 0x323AF),
+)
+SCRIPTS = ("none", *dict.fromkeys(name for name, _, _ in RANGES))
+_sorted = sorted(RANGES, key=lambda x: x[1])
+STARTS, STOPS = np.array([a for _, a, _ in _sorted]), np.array([b for _, _, b in _sorted])
+SCRIPT_OF_RANGE = np.array([SCRIPTS.index(name) for name, _, _ in _sorted], np.uint8)
 UNDETERMINED = "und"
 HAS_LETTER = regex.compile(r"\p{L}")
 SPANS = "spans array<struct<start:int,end:int,lang:string>>"
@@ -46,24 +58,38 @@ class Sparse:
     langs: np.ndarray
     adds: np.ndarray
 
-    def sums(self, buckets: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """Sum of each row's buckets for each language."""
+    def sums(self, buckets: np.ndarray, row: np.ndarray, rows: int, candidates: np.ndarray) -> np.ndarray:
+        """Sum of each row's buckets for each candidate."""
         k, first = len(self.base), self.starts[buckets]
         sizes = self.starts[buckets + 1] - first
         at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        found = np.bincount(np.repeat(row, sizes) * k + self.langs[at], weights=self.adds[at], minlength=rows * k).reshape(rows, k)
-        return found + np.bincount(row, minlength=rows)[:, None] * self.base
+        row_of = np.repeat(row, sizes)
+        if len(candidates) < k:
+            place = np.full(k, -1)
+            place[candidates] = np.arange(len(candidates))
+            own = np.flatnonzero(place[self.langs[at]] >= 0)
+            at, row_of, langs = at[own], row_of[own], place[self.langs[at[own]]]
+        else:
+            langs = self.langs[at]
+        k = len(candidates)
+        found = np.bincount(row_of * k + langs, weights=self.adds[at], minlength=rows * k).reshape(rows, k)
+        return found + np.bincount(row, minlength=rows)[:, None] * self.base[candidates]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages and their tables: log likelihood by bucket, and allowed scripts."""
+    """Languages and their tables: log likelihood by bucket, and which scripts each uses."""
 
     langs: tuple[str, ...]
     trigrams: np.ndarray | Sparse
     tokens: np.ndarray | Sparse
     scripts: np.ndarray
 
+    def candidates(self, script: int) -> np.ndarray:
+        """Languages that use a script; all, if none does."""
+        used = np.flatnonzero(self.scripts[script])
+        return used if len(used) else np.arange(len(self.langs))
+
 
 def trigram_buckets(found: words.Words) -> np.ndarray:
     """Bucket of the three bytes around each letter; 0 stands beyond a word's ends."""
@@ -76,13 +102,26 @@ def trigram_buckets(found: words.Words) -> np.ndarray:
 
 
 def word_scripts(found: words.Words) -> np.ndarray:
-    """The highest script range among each word's bytes."""
-    return np.maximum.reduceat(SCRIPT[found.letters], found.first) if len(found.first) else found.first.astype(np.uint8)
+    """The script of each word; of several, that which is last in SCRIPTS."""
+    if not len(found.first):
+        return np.zeros(0, np.uint8)
+    b = found.letters
+    script = (b < 0x80).astype(np.uint8)
+    lead = np.flatnonzero(b >= 0xC0)
+    if len(lead):
+        size = 2 + (b[lead] >= 0xE0) + (b[lead] >= 0xF0)
+        point = b[lead].astype(np.int64) & (0x7F >> size)
+        for k in range(1, 4):
+            more = k < size
+            point[more] = point[more] << 6 | b[lead[more] + k] & 0x3F
+        at = np.searchsorted(STARTS, point, side="right") - 1
+        script[lead] = np.where(point <= STOPS[at], SCRIPT_OF_RANGE[at], 0)
+    return np.maximum.reduceat(script, found.first)
 
 
 def count_features(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Feature counts of one part of one language's training rows."""
-    counts = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(8, np.int64)]
+    counts = [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS), np.int64)]
     raw, ends = common.text_buffers(pa.array(rows["text"], pa.string()))
     for a, b in common.runs(ends):
         found = words.find(raw, ends[a : b + 1], words.LETTER)
@@ -109,7 +148,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros((8, 0), np.float32))
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     shares = docs.sparkSession.createDataFrame([(lang, rows / n) for lang, n in sizes.items() if n > rows], "lang string, share double")
     spot = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) / 1_000_000.0
     sample = usable.join(F.broadcast(shares), "lang", "left").where(spot < F.coalesce("share", F.lit(1.0))).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(TRAINING_PARTS)))
@@ -122,14 +161,13 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     trigrams, tokens, scripts = [], [], []
     for lang in langs:
         at, counts = (np.concatenate(x) for x in zip(*found.pop(lang)))
-        three, whole, script = np.split(np.bincount(at, weights=counts, minlength=2 * BUCKETS + 8), [BUCKETS, 2 * BUCKETS])
+        three, whole, script = np.split(np.bincount(at, weights=counts, minlength=2 * BUCKETS + len(SCRIPTS)), [BUCKETS, 2 * BUCKETS])
         for to, count, prior in ((trigrams, three, 0.1), (tokens, whole, 0.5)):
             to.append(log_likelihood(count, prior) if dense else sparse_likelihood(count, prior))
-        used = script >= 1e-4 * max(1.0, script.sum())
-        scripts.append(np.where(used, 0.0, OUT_OF_SCRIPT))
+        scripts.append(script >= 1e-4 * max(1.0, script.sum()))
     stack = lambda x: np.ascontiguousarray(np.stack(x, axis=1).astype(np.float32))
     table = stack if dense else stack_sparse
-    return Model(langs, table(trigrams), table(tokens), stack(scripts))
+    return Model(langs, table(trigrams), table(tokens), np.stack(scripts, axis=1))
 
 
 def log_likelihood(count: np.ndarray, prior: float) -> np.ndarray:
@@ -152,31 +190,49 @@ def stack_sparse(parts: list[tuple[float, np.ndarray, np.ndarray]]) -> Sparse:
     return Sparse(np.array([base for base, *_ in parts]), starts, langs[order], np.concatenate([add for *_, add in parts])[order])
 
 
-def sparse_scores(model: Model, found: words.Words) -> np.ndarray:
-    """Log likelihood of each language for each word from sparse tables, by parts of the words."""
-    n, k = len(found.first), len(model.langs)
-    score = np.empty((n, k), np.float32)
+def some_words(found: words.Words, at: np.ndarray) -> words.Words:
+    """Some of the words, as if they were all (of one row)."""
+    sizes = found.lengths[at]
+    first = np.cumsum(sizes) - sizes
+    letters = found.letters[np.repeat(found.first[at] - first, sizes) + np.arange(sizes.sum())]
+    return words.Words(np.array([0, len(at)]), found.hashes[at], found.starts[at], sizes, first, letters)
+
+
+def likelihoods(model: Model, found: words.Words, candidates: np.ndarray) -> np.ndarray:
+    """Log likelihood of each candidate for each word; with sparse tables by parts of the words."""
     buckets, whole = trigram_buckets(found), (found.hashes >> np.uint64(48)).astype(np.int64)
-    step = max(1, (1 << 20) // k)
+    n, k = len(found.first), len(candidates)
+    if not isinstance(model.trigrams, Sparse):
+        if k == len(model.langs):
+            return np.add.reduceat(model.trigrams[buckets], found.first, axis=0) + model.tokens[whole]
+        return np.add.reduceat(model.trigrams[buckets[:, None], candidates], found.first, axis=0) + model.tokens[whole[:, None], candidates]
+    score = np.empty((n, k), np.float32)
+    step = max(1, (1 << 20) // len(model.langs))
     for a in range(0, n, step):
         b = min(n, a + step)
         row = np.repeat(np.arange(b - a), found.lengths[a:b])
         here = buckets[found.first[a] : found.first[b - 1] + found.lengths[b - 1]].astype(np.int64)
-        score[a:b] = model.trigrams.sums(here, row, b - a) + model.tokens.sums(whole[a:b], np.arange(b - a), b - a)
+        score[a:b] = model.trigrams.sums(here, row, b - a, candidates) + model.tokens.sums(whole[a:b], np.arange(b - a), b - a, candidates)
     return score
 
 
 def word_scores(model: Model, found: words.Words) -> np.ndarray:
-    """Log posterior of each language for each word, not below FLOOR."""
-    if isinstance(model.trigrams, Sparse):
-        score = sparse_scores(model, found)
-    else:
-        score = np.add.reduceat(model.trigrams[trigram_buckets(found)], found.first, axis=0)
-        score += model.tokens[(found.hashes >> np.uint64(48)).astype(np.int64)]
-    score += model.scripts[word_scripts(found)]
-    score -= score.max(axis=1, keepdims=True)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
-    return np.maximum(score, FLOOR)
+    """Score of each language for each word.
+
+    The candidates of the word's script get their log posteriors, not below FLOOR; the
+    others are not looked up and get OUT_OF_SCRIPT.
+    """
+    n, k = len(found.first), len(model.langs)
+    out, script = np.full((n, k), OUT_OF_SCRIPT, np.float32), word_scripts(found)
+    for kind in np.unique(script):
+        at, candidates = np.flatnonzero(script == kind), model.candidates(kind)
+        score = likelihoods(model, found if len(at) == n else some_words(found, at), candidates)
+        score -= score.max(axis=1, keepdims=True)
+        score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+        if score.shape == out.shape:
+            return np.maximum(score, FLOOR)
+        out[at[:, None], candidates] = np.maximum(score, FLOOR)
+    return out
 
 
 def viterbi(score: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
