@@ -6,8 +6,10 @@ is cut so that equal strings meet and no task needs more than its share:
 1. Each string has an anchor, the K bytes in it with the least hash. Strings that follow
    each other and have one anchor form a segment. Equal strings have equal anchors, so a
    repeat's copies meet in the bucket of their anchor.
-2. Segments of equal content are reduced to the first; the others are repeats. Anchors
-   that still have different contents need their bytes compared.
+2. Segments of equal content (64 bits of hash beside the anchor's 48) are reduced to the
+   first; the others are repeats. Anchors that still have different contents need their
+   bytes compared. An anchor that very many documents have is not dealt to one task: its
+   segments are taken apart and each string is dealt by its own hash.
 3. Each bucket of such segments gets a run-length index: the Burrows-Wheeler transform
    of its text, kept as runs with suffix-array samples at the ends of runs. From the
    samples alone, matching statistics are streamed: for each place the length of its
@@ -39,11 +41,13 @@ WINDOW = LENGTH - K + 1
 BUCKET_BYTES = 6 << 20
 #: Segments of one anchor that one index takes; beyond, each string is dealt by itself.
 CROWD = 16_384
+#: Segments of one anchor in a batch that are counted; anchors that are taken apart, at most.
+HEAVY, MOST_HOT = 8, 100_000
 PIECE = 1 << 18
 NO_ID = -(1 << 63)
 PLACE_BITS = np.uint64(20)
 PLACE = np.uint64((1 << 20) - 1)
-SEGMENTS, RANGES, STRINGS = 0, 1, 2
+SEGMENTS, RANGES, STRINGS, COUNTS = 0, 1, 2, 3
 ROW = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 ARROW_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _bytes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -63,7 +67,7 @@ class Segments(NamedTuple):
     """Runs of strings with one anchor: the first string's start and how many follow."""
 
     anchor: np.ndarray  # 48 bits
-    content: np.ndarray  # 48 bits
+    content: np.ndarray  # 64 bits
     doc: np.ndarray
     start: np.ndarray
     more: np.ndarray
@@ -79,18 +83,16 @@ def low48(x: np.ndarray) -> np.ndarray:
 
 
 def pack_segments(s: Segments) -> bytes:
-    return pack(low48(s.anchor), low48(s.content), s.doc.astype("<i8"), (s.start & 0xFFFF).astype("<u2"), (s.start >> 16).astype("<u2"), s.more.astype(np.uint8))
+    return pack(low48(s.anchor), s.content.astype("<u8"), s.doc.astype("<i8"), (s.start & 0xFFFF).astype("<u2"), (s.start >> 16).astype("<u2"), s.more.astype(np.uint8))
 
 
 def unpack_segments(blob: bytes) -> Segments:
     n = int(np.frombuffer(blob, "<u4", 1)[0])
-    wide = np.zeros((2, n, 8), np.uint8)
-    raw = np.frombuffer(blob, np.uint8, offset=4)
-    wide[:, :, :6] = raw[: 12 * n].reshape(2, n, 6)
-    keys = wide.view("<u8").reshape(2, n)
-    doc = np.frombuffer(blob, "<i8", n, 4 + 12 * n)
-    low, high = np.frombuffer(blob, "<u2", n, 4 + 20 * n), np.frombuffer(blob, "<u2", n, 4 + 22 * n)
-    return Segments(keys[0], keys[1], doc, low.astype(np.int64) | high.astype(np.int64) << 16, raw[24 * n : 25 * n].astype(np.int64))
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 4).reshape(n, 6)
+    content, doc = np.frombuffer(blob, "<u8", n, 4 + 6 * n), np.frombuffer(blob, "<i8", n, 4 + 14 * n)
+    low, high = np.frombuffer(blob, "<u2", n, 4 + 22 * n), np.frombuffer(blob, "<u2", n, 4 + 24 * n)
+    return Segments(wide.view("<u8").ravel(), content, doc, low.astype(np.int64) | high.astype(np.int64) << 16, np.frombuffer(blob, np.uint8, n, 4 + 26 * n).astype(np.int64))
 
 
 def pack_ranges(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
@@ -157,7 +159,7 @@ def cut(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, doc: np.ndarray,
     more = np.diff(np.append(first, len(at))) - 1
     start, own = at[first], owner[first]
     content = range_hashes(prefix_hashes(data), start, start + more + LENGTH)
-    return Segments(grams[anchor[first]] >> np.uint64(16), content >> np.uint64(16), doc[own], start - begin[own] + shift[own], more)
+    return Segments(grams[anchor[first]] >> np.uint64(16), content, doc[own], start - begin[own] + shift[own], more)
 
 
 def pieces(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -229,7 +231,10 @@ def ranges_by_bucket(doc: np.ndarray, start: np.ndarray, size: np.ndarray, bucke
 
 
 def segment_batches(buckets: int):
-    """Arrow function from documents to packed segments, reduced within the batch."""
+    """Arrow function from documents to packed segments, reduced within the batch.
+
+    A row of counts names the anchors with HEAVY or more segments left in the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,6 +251,53 @@ def segment_batches(buckets: int):
                 own = at[np.lexsort((s.start[at], s.doc[at]))]
                 rows.append((b, SEGMENTS, pack_segments(take(s, own))))
             rows += ranges_by_bucket(r.doc, r.start, r.more + LENGTH, buckets)
+            anchor, count = np.unique(s.anchor, return_counts=True)
+            many = count >= HEAVY
+            rows.append((0, COUNTS, pack(np.append(anchor[many], 0).astype("<u8"), np.append(count[many], len(s.anchor)).astype("<u8"))))
+            yield from table(rows).to_batches(max_chunksize=64)
+
+    return run
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, n) of packed counts; those without an anchor count all segments."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            raw = blob.as_py()
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            anchor, count = np.frombuffer(raw, "<u8", n, 4), np.frombuffer(raw, "<u8", n, 4 + 8 * n)
+            kept = pa.array(anchor.astype(np.int64), pa.int64(), mask=np.arange(n) == n - 1)
+            yield pa.RecordBatch.from_arrays([kept, pa.array(count.astype(np.int64))], ["anchor", "n"])
+
+
+def hot_anchors(packed: DataFrame, crowd: int) -> np.ndarray:
+    """Anchors with over ``crowd`` segments and a MOST_HOT-th of all or more, from all batches' counts.
+
+    What a batch has fewer than HEAVY of is not counted, so an anchor that is missed
+    here has fewer than HEAVY segments for each batch of documents.
+    """
+    sums = common.materialize(packed.where(F.col("kind") == COUNTS).select("blob").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = sums.where("anchor is null").agg(F.sum("n")).first()[0] or 0
+    rows = sums.where(F.col("anchor").isNotNull() & (F.col("n") > max(crowd, total // MOST_HOT))).select("anchor").collect()
+    return np.array(sorted(r["anchor"] for r in rows), np.uint64)
+
+
+def take_apart(hot: np.ndarray, buckets: int):
+    """Arrow function on packed segments: those of hot anchors are sent to their documents as strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for b, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob")):
+                blob = blob.as_py()
+                if kind == SEGMENTS:
+                    s = unpack_segments(blob)
+                    apart = np.isin(s.anchor, hot)
+                    if apart.any():
+                        own = take(s, np.flatnonzero(apart))
+                        rows += [(to, STRINGS, pack_segments(take(own, at))) for to, at in grouped(home(own.doc, buckets))]
+                        blob = pack_segments(take(s, np.flatnonzero(~apart)))
+                rows.append((b, kind, blob))
             yield from table(rows).to_batches(max_chunksize=64)
 
     return run
@@ -254,7 +306,7 @@ def segment_batches(buckets: int):
 def meet(buckets: int, crowd: int = CROWD):
     """Arrow function on one bucket of segments: repeats, and what is left to compare.
 
-    Ranges pass through to the bucket of their document. Of segments, all but the first
+    Ranges and strings pass through to the bucket of their document. Of segments, all but the first
     of each content are repeats; those first ones are sent to their document's bucket if
     their anchor has more contents than one.
     """
@@ -262,7 +314,7 @@ def meet(buckets: int, crowd: int = CROWD):
     def run(rows: pa.Table) -> pa.Table:
         kinds = rows.column("kind").to_numpy()
         blobs = [b.as_py() for b in rows.column("blob")]
-        out = [(b, RANGES, blob) for b, k, blob in zip(rows.column("bucket").to_pylist(), kinds, blobs) if k == RANGES]
+        out = [(b, int(k), blob) for b, k, blob in zip(rows.column("bucket").to_pylist(), kinds, blobs) if k != SEGMENTS]
         held = [unpack_segments(blob) for k, blob in zip(kinds, blobs) if k == SEGMENTS]
         if held:
             s = Segments(*(np.concatenate(c) for c in zip(*held)))
@@ -319,7 +371,7 @@ def fetch(buckets: int):
                 where = (begin[which] + step)[:, None] + np.arange(LENGTH)
                 text = raw[where]
                 one = mix((_bytes[text] * powers(STEP, LENGTH)).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
-                two = mix((_bytes[text] * powers(OTHER_STEP, LENGTH)).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
+                two = mix((_bytes[text] * powers(OTHER_STEP, LENGTH)).sum(axis=1, dtype=np.uint64))
                 singles.append(Segments(one, two, s.doc[which], s.start[which] + step, np.zeros(len(which), np.int64)))
             s = Segments(*(np.concatenate(c) for c in zip(*singles)))
             first, again = reduce_equal(s)
@@ -499,7 +551,9 @@ def remove(fields: list[str], digest: bool):
         texts = [kept[a:b].tobytes() for a, b in zip(left[:-1], left[1:])]
         counts = [pa.array(np.diff(ends)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64))]
         if digest:
-            return pa.table([docs.column("doc_id"), *counts, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            own = [f for f in fields if f != "text"]
+            shas = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+            return pa.table([*(docs.column(f) for f in own), *counts, shas], [*own, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         null = docs.column("text").is_null().to_pylist()
         clean = pa.array([None if x else t.decode("utf-8", "ignore") for t, x in zip(texts, null)], pa.string())
         return pa.table([*(clean if f == "text" else docs.column(f) for f in fields), *counts], [*fields, "n_bytes", "n_removed", "n_spans"])
@@ -514,25 +568,42 @@ def without_repeats(docs: DataFrame, digest: bool = False, crowd: int = CROWD) -
     as a whole), or with ``digest`` only doc_id and the digest of the remaining bytes;
     and ``n_bytes``, ``n_removed`` and ``n_spans``, which replace like-named columns.
     "Earlier" means a smaller doc_id, or an earlier start in the same document. Rows
-    without doc_id are left as they are and nothing is compared with them. Rows that
-    repeat a doc_id count as one document. Null and empty texts have no bytes.
+    that repeat a doc_id are documents of their own, those of the lesser text first.
+    Rows without doc_id are left as they are and nothing is compared with them. Null and
+    empty texts have no bytes; an empty table gives an empty one.
     """
-    counts = ["n_bytes", "n_removed", "n_spans"]
-    source = docs.select("doc_id", "text") if digest else docs.drop(*counts)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(4 * common.salted(docs.sparkSession), -(-total // BUCKET_BYTES))
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    packed = texts.mapInArrow(segment_batches(n), ROW)
-    met = common.materialize(packed.groupBy("bucket").applyInArrow(meet(n, crowd), ROW), "met")
+    source = docs.select("doc_id", "text") if digest else docs.drop("n_bytes", "n_removed", "n_spans")
+    if source.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _without_repeats(source, digest, crowd)
+    # numbers that grow with doc_id and text stand for the ids; the written table fixes them
+    numbered = source.withColumn("_doc_id", F.col("doc_id")).orderBy("doc_id", "text")
+    numbered = common.materialize(numbered.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered")
+    found = _without_repeats(numbered, digest, crowd)
+    return found.withColumn("doc_id", F.col("_doc_id")).drop("_doc_id")
+
+
+def _without_repeats(source: DataFrame, digest: bool, crowd: int) -> DataFrame:
+    """The same for documents without repeated doc_ids."""
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(4 * common.salted(source.sparkSession), -(-total // BUCKET_BYTES))
+    texts = source.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
+    packed = common.materialize(texts.mapInArrow(segment_batches(n), ROW), "segments")
+    hot = hot_anchors(packed, crowd)
+    dealt = packed.where(F.col("kind") != COUNTS)
+    if len(hot):
+        dealt = dealt.mapInArrow(take_apart(hot, n), ROW)
+    met = common.materialize(dealt.groupBy("bucket").applyInArrow(meet(n, crowd), ROW), "met")
+    common.release(packed)
     # both uses of the documents are one exchange in the plan
     held = source.withColumn("bucket", home_column(F.col("doc_id"), n)).groupBy("bucket")
     fetched = held.cogroup(met.where(F.col("kind") != RANGES).groupBy("bucket")).applyInArrow(fetch(n), ROW)
     compared = fetched.groupBy("bucket").applyInArrow(compare(n), ROW)
     marked = met.where(F.col("kind") == RANGES).unionByName(compared)
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     if digest:
-        schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+        schema = T.StructType([*(f for f in source.schema.fields if f.name != "text"), *counts, T.StructField("kept_sha256", T.StringType())])
     else:
-        schema = T.StructType([*source.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
+        schema = T.StructType([*source.schema.fields, *counts])
     return held.cogroup(marked.groupBy("bucket")).applyInArrow(remove(source.columns, digest), schema)
 
 
