@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ DENIED = (
 MARK = "\x01"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for each row and use it many times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove all white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -39,8 +46,7 @@ def sentences(text: Column, paragraphs: bool = False) -> Column:
     """
     marked = F.regexp_replace(text, SENTENCE_END, f" {MARK} ")
     parts = F.split(marked, PARAGRAPH_BREAK if paragraphs else MARK)
-    found = F.transform(parts, words)
-    return F.when(F.size(F.element_at(found, -1)) == 0, F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    return let(F.transform(parts, words), lambda found: F.when(F.size(F.element_at(found, -1)) == 0, F.slice(found, 1, F.size(found) - 1)).otherwise(found))
 
 
 def name(term: Column) -> Column:
@@ -53,6 +59,11 @@ def lower(term: Column) -> Column:
     return F.transform(term, F.lower)
 
 
+def is_open(word: Column) -> Column:
+    """Part-of-speech gate: whether a word is outside the closed classes."""
+    return ~F.lower(word).isin(*DENIED)
+
+
 def allowed(terms: Column) -> Column:
-    """Part-of-speech gate: for each word, whether it is outside the closed classes."""
-    return F.transform(terms, lambda w: ~F.lower(w).isin(*DENIED))
+    """The gate for each word of a term."""
+    return F.transform(terms, is_open)

@@ -36,9 +36,18 @@ def pairs(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "win_ix"), item:
     The distinct terms of a window are brought together once; the pairs come from that
     array, so there is no self-join and no second exchange.
     """
-    sets = found.groupBy(*keys).agg(F.collect_set(item).alias("t")).where(F.size("t") > 1)
-    both = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b != a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    return sets.select(*keys, F.inline(both))
+    return _ordered(found.groupBy(*keys).agg(F.collect_set(item).alias("t")), keys)
+
+
+def window_pairs(hits: DataFrame) -> DataFrame:
+    """The same from windows with their matches, where nothing has to be brought together."""
+    return _ordered(hits.select("doc_id", "win_ix", F.array_distinct(F.transform("hits", lambda h: h["term"])).alias("t")), ("doc_id", "win_ix"))
+
+
+def _ordered(sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Each term of an array with each other one; one side is exploded first, so no array of all pairs is made."""
+    one = sets.where(F.size("t") > 1).select(*keys, F.explode("t").alias("src"), "t")
+    return one.select(*keys, "src", F.explode("t").alias("dst")).where("src <> dst")
 
 
 def definition_pairs(found: DataFrame, heads: DataFrame) -> DataFrame:

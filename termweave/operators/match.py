@@ -2,54 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions import stem, text
 
 #: A vocabulary is sent to all tasks up to so many paths; beyond, it is joined by exchange.
 BROADCAST_PATHS = 200_000
+#: Up to so many paths are held in the plan itself.
+ROW_PATHS = 500
+HITS = "array<struct<start:int,n:int,term:string,surface:string>>"
 
 
 def matches(windows: DataFrame, vocab: DataFrame, how: str = "lower", gate: bool = False) -> DataFrame:
-    """Terms found in each window (doc_id, win_ix, words): (doc_id, win_ix, start, n, term, surface).
+    """Terms found in each window (doc_id, win_ix, words): (doc_id, win_ix, start, n, term, surface)."""
+    return each(in_windows(windows, vocab, how, gate))
+
+
+def each(hits: DataFrame) -> DataFrame:
+    """One row for each match of windows with their matches."""
+    return hits.select("doc_id", "win_ix", F.inline("hits"))
+
+
+def in_windows(windows: DataFrame, vocab: DataFrame, how: str = "lower", gate: bool = False) -> DataFrame:
+    """Windows with the terms found in them: (doc_id, win_ix, hits); those without any are left out.
 
     From left to right the longest path that begins at a word is taken and its words are
-    skipped. Words meet paths by an equal first lemma; only the words that a path could
-    cover travel with each position. With ``gate`` a path matches only words outside the
-    closed word classes.
+    skipped. With ``gate`` a path matches only words outside the closed word classes. A
+    vocabulary of a checked size of up to ROW_PATHS is matched inside each window's row,
+    without any exchange; a larger one is joined by the paths' first lemmas.
     """
     bounds = vocab.agg(F.max("n").alias("n"), F.count("*").alias("k")).first()
-    longest, paths = bounds["n"] or 1, bounds["k"]
+    if bounds["k"] <= ROW_PATHS:
+        return _in_rows(windows, vocab, how, gate)
     seen = windows.select("doc_id", "win_ix", "words", stem.lemmas(F.col("words"), how).alias("lemmas"))
-    ok = text.allowed(F.col("words")) if gate else None
+    if gate:
+        seen = seen.withColumn("ok", text.allowed(F.col("words")))
+    return _by_join(seen, vocab, bounds["n"] or 1, bounds["k"] <= BROADCAST_PATHS, gate)
+
+
+def _in_rows(windows: DataFrame, vocab: DataFrame, how: str, gate: bool) -> DataFrame:
+    """Matching against a vocabulary that is held in the plan."""
+    paths: dict[str, list[tuple[int, tuple[str, ...], str]]] = {}
+    for r in vocab.select("path", "term", "n").distinct().collect():
+        paths.setdefault(r["path"][0], []).append((r["n"], tuple(r["path"]), r["term"]))
+    if not paths:
+        return windows.limit(0).select("doc_id", "win_ix", F.array().cast(HITS).alias("hits"))
+    lit = lambda n, path, term: F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, path)).alias("path"), F.lit(term).alias("term"))
+    held = F.create_map(*(x for first, own in sorted(paths.items()) for x in (F.lit(first), F.array(*(lit(*p) for p in sorted(own, reverse=True))))))
+
+    def hits(lemmas: Column) -> Column:
+        """Longest match at each place whose lemma begins a path."""
+
+        def longest(i: Column) -> Column:
+            covers = lambda c: F.slice(lemmas, i + 1, c["n"]) == c["path"]
+            open_ = lambda c: F.forall(F.slice("words", i + 1, c["n"]), text.is_open)
+            fits = (lambda c: covers(c) & open_(c)) if gate else covers
+            best = F.get(F.filter(F.try_element_at(held, F.get(lemmas, i)), fits), 0)
+            return text.let(best, lambda c: F.when(c.isNotNull(), F.struct(i.alias("start"), c["n"].alias("n"), c["term"].alias("term"), text.name(F.slice("words", i + 1, c["n"])).alias("surface"))))
+
+        places = F.filter(F.transform(lemmas, lambda w, i: F.when(w.isin(*paths), i)), lambda i: i.isNotNull())
+        return F.array_compact(F.transform(places, longest))
+
+    found = text.let(stem.lemmas(F.col("words"), how), lambda lemmas: text.let(hits(lemmas), lambda h: F.when(F.size(h) > 1, _leftmost(h)).otherwise(h)))
+    return windows.select("doc_id", "win_ix", found.alias("hits")).where(F.size("hits") > 0)
+
+
+def _leftmost(hits: Column) -> Column:
+    """Of matches in order of their starts, those that no taken one before covers."""
+    free = lambda taken, h: h["start"] >= F.element_at(taken, -1)["start"] + F.element_at(taken, -1)["n"]
+    return F.aggregate(F.slice(hits, F.lit(2), F.size(hits)), F.slice(hits, 1, 1), lambda taken, h: F.when(free(taken, h), F.concat(taken, F.array(h))).otherwise(taken))
+
+
+def _by_join(seen: DataFrame, vocab: DataFrame, longest: int, small: bool, gate: bool) -> DataFrame:
+    """Matching by an equi-join of words with first lemmas.
+
+    Only the words that a path could cover travel with each position.
+    """
     at = lambda i: F.struct(
         i.alias("start"), F.slice("lemmas", i + 1, longest).alias("ahead"), F.slice("words", i + 1, longest).alias("surface"),
         *([F.slice("ok", i + 1, longest).alias("ok")] if gate else []),
     )
-    if gate:
-        seen = seen.withColumn("ok", ok)
     places = seen.where(F.size("lemmas") > 0).select("doc_id", "win_ix", F.explode(F.transform(F.sequence(F.lit(0), F.size("lemmas") - 1), at)).alias("p"))
     places = places.select("doc_id", "win_ix", "p.*").withColumn("first", F.element_at("ahead", 1))
     keyed = vocab.select(F.element_at("path", 1).alias("first"), "path", "term", "n").distinct()
-    joined = places.join(F.broadcast(keyed) if paths <= BROADCAST_PATHS else keyed, "first")
+    joined = places.join(F.broadcast(keyed) if small else keyed, "first")
     fits = F.slice("ahead", F.lit(1), F.col("n")) == F.col("path")
     if gate:
         fits = fits & F.forall(F.slice("ok", F.lit(1), F.col("n")), lambda x: x)
     hits = joined.where(fits).select("doc_id", "win_ix", "start", "n", "term", text.name(F.slice("surface", F.lit(1), F.col("n"))).alias("surface"))
-    hit = F.struct("start", F.col("n"), "term", "surface")
-    grouped = hits.groupBy("doc_id", "win_ix").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    kind = "array<struct<start:int,n:int,term:string,surface:string>>"
-
-    def take(taken, h):
-        last = F.element_at(taken, -1)
-        begins = F.size(taken) == 0
-        longer = ~begins & (last["start"] == h["start"])
-        free = begins | (h["start"] >= last["start"] + last["n"])
-        return F.when(longer, F.concat(F.slice(taken, F.lit(1), F.size(taken) - 1), F.array(h))).when(free, F.concat(taken, F.array(h))).otherwise(taken)
-
-    chosen = F.aggregate("hits", F.array().cast(kind), lambda taken, h: F.when(F.size(taken) == 0, F.array(h)).otherwise(take(taken, h)))
-    return grouped.select("doc_id", "win_ix", F.explode(chosen).alias("h")).select("doc_id", "win_ix", "h.*")
+    best = F.max_by(F.struct("start", "n", "term", "surface"), "n")
+    longest_ones = hits.groupBy("doc_id", "win_ix", "start").agg(best.alias("h"))
+    grouped = longest_ones.groupBy("doc_id", "win_ix").agg(F.array_sort(F.collect_list("h")).alias("hits"))
+    return grouped.select("doc_id", "win_ix", _leftmost(F.col("hits")).alias("hits"))
 
 
 def inflections(found: DataFrame, vocab: DataFrame) -> DataFrame:

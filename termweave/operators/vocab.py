@@ -64,14 +64,18 @@ def most_frequent(docs: DataFrame, words: int = 60, pairs: int = 20, least: int
 
     Words are lower-case, of ``least`` characters or more, without "." and "<" and "="
     and outside ``stop``; pairs are neighbours in a sentence, both among those words.
-    Equal counts: the smaller term.
+    Equal counts: the smaller term. The result has at most ``words + pairs`` rows, which
+    come from two passes over the texts.
     """
     lowered = docs.select(F.transform(text.sentences(F.col("text")), text.lower).alias("s")).where(F.col("s").isNotNull())
     fit = lambda w: (F.char_length(w) >= least) & ~F.rlike(w, F.lit("[.<=]")) & ~w.isin(*stop)
     each = lowered.select(F.explode(F.array_distinct(F.filter(F.flatten("s"), fit))).alias("term"))
-    top = each.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(words)
-    chosen = [r["term"] for r in top.collect()]
+    best = lambda t, k: t.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(k).collect()
+    top = [(r["term"], r["df"]) for r in best(each, words)]
+    chosen = [term for term, _ in top]
     neighbours = F.flatten(F.transform("s", lambda s: F.when(F.size(s) > 1, F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a.isin(*chosen) & b.isin(*chosen), F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))))
-    both = lowered.select(F.explode(F.array_distinct(F.array_compact(neighbours))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(pairs)
-    rows = top.unionByName(both) if chosen else top
+    if chosen:
+        both = lowered.select(F.explode(F.array_distinct(F.array_compact(neighbours))).alias("term"))
+        top += [(r["term"], r["df"]) for r in best(both, pairs)]
+    rows = docs.sparkSession.createDataFrame(top, "term string, df bigint")
     return rows.select(F.split("term", " ").alias("path"), "term", F.col("term").alias("surface"), F.size(F.split("term", " ")).alias("n"), "df")

@@ -69,16 +69,16 @@ def parse_glossary(rows: DataFrame, how: str = "stem", gate: bool = False) -> Pa
     docs = rows.select(F.col("ord").cast("bigint").alias("doc_id"), F.col("definition").alias("text"))
     heads = rows.select(F.col("ord").cast("bigint").alias("doc_id"), F.array_join(vocab.stem.lemmas(vocab.text.words(F.col("head")), how), " ").alias("term"))
     wins = cooc.windows(docs, 1)
-    found = match.matches(wins, vocab.check(words), how, gate)
+    found = match.each(storage.cut(match.in_windows(wins, vocab.check(words), how, gate)))
     return Parsed(cooc.definition_pairs(found, heads), wins, match.inflections(found, words), heads.select("term").distinct())
 
 
 def parse_content(docs: DataFrame, words: DataFrame, width: int = 1, paragraphs: bool = False, how: str = "stem", gate: bool = False, mode: str = "reference") -> Parsed:
     """Pairs of terms of one window of (doc_id, text): for term lists and articles alike."""
     wins = cooc.windows(docs, width, paragraphs, mode)
-    found = match.matches(wins, words, how, gate)
-    pairs = cooc.pairs(found)
-    return Parsed(pairs, wins, match.inflections(found, words), pairs.select(F.col("src").alias("term")).distinct())
+    hits = storage.cut(match.in_windows(wins, words, how, gate))
+    pairs = cooc.window_pairs(hits)
+    return Parsed(pairs, wins, match.inflections(match.each(hits), words), pairs.select(F.col("src").alias("term")).distinct())
 
 
 def build(parsed: Parsed, keep: float = 80) -> Network:

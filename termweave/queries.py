@@ -17,7 +17,7 @@ from termweave.sources import readers
 
 
 def docs_of(spark: SparkSession, folder: str) -> DataFrame:
-    return storage.table(spark, folder, "documents").select("doc_id", "text")
+    return storage.spread(storage.table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def words_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,13 +25,12 @@ def words_of(spark: SparkSession, folder: str) -> DataFrame:
     return storage.cut(vocab.most_frequent(docs_of(spark, folder), stop=STOP))
 
 
-def found_of(spark: SparkSession, folder: str) -> DataFrame:
-    docs = docs_of(spark, folder)
-    return match.matches(cooc.windows(docs, 1), words_of(spark, folder).drop("df"), "lower")
+def hits_of(spark: SparkSession, folder: str) -> DataFrame:
+    return match.in_windows(cooc.windows(docs_of(spark, folder), 1), words_of(spark, folder).drop("df"), "lower")
 
 
 def counts_of(spark: SparkSession, folder: str) -> DataFrame:
-    return cooc.counts(cooc.pairs(found_of(spark, folder)))
+    return cooc.counts(cooc.window_pairs(hits_of(spark, folder)))
 
 
 def graph_of(spark: SparkSession, folder: str) -> graph.Graph:
@@ -57,18 +56,18 @@ def vocab_top_terms(spark, folder):
 
 
 def term_matches(spark, folder):
-    return found_of(spark, folder).select("doc_id", F.col("win_ix").cast("bigint").alias("win_ix"), F.col("start").cast("bigint").alias("start"), "term", "surface")
+    return match.each(hits_of(spark, folder)).select("doc_id", F.col("win_ix").cast("bigint").alias("win_ix"), F.col("start").cast("bigint").alias("start"), "term", "surface")
 
 
 def inflection_counts(spark, folder):
     words = words_of(spark, folder).drop("df")
-    found = match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower")
+    found = storage.cut(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"))
     return match.inflections(found, words).select("term", "surface", "cnt")
 
 
 def dominant_inflection(spark, folder):
     words = words_of(spark, folder).drop("df")
-    found = match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower")
+    found = storage.cut(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"))
     return match.dominant(match.inflections(found, words))
 
 
@@ -81,7 +80,7 @@ def _windows(mode):
 
 
 def cooc_pairs(spark, folder):
-    return cooc.pairs(found_of(spark, folder)).select("doc_id", F.col("win_ix").cast("bigint").alias("win_ix"), "src", "dst")
+    return cooc.window_pairs(hits_of(spark, folder)).select("doc_id", F.col("win_ix").cast("bigint").alias("win_ix"), "src", "dst")
 
 
 def cooc_counts(spark, folder):
@@ -102,7 +101,7 @@ def cooc_cutoff(spark, folder):
 
 def pair_sentences(spark, folder):
     wins = cooc.windows(docs_of(spark, folder), 1)
-    pairs = storage.cut(cooc.pairs(match.matches(wins, words_of(spark, folder).drop("df"), "lower")))
+    pairs = storage.cut(cooc.window_pairs(match.in_windows(wins, words_of(spark, folder).drop("df"), "lower")))
     return cooc.pair_sentences(pairs, cooc.kept(cooc.counts(pairs), CUT_KEEP), wins)
 
 
@@ -176,7 +175,7 @@ def neighbourhood_expanded(spark, folder):
 
 
 def distances(spark, folder):
-    return graph.all_distances(graph_of(spark, folder)).select("src", "dst", F.col("dist").cast("bigint").alias("dist"))
+    return graph.all_distances(graph_of(spark, folder)).select("src", "dst", F.col("dist").cast("double").alias("dist"))
 
 
 def eccentricity(spark, folder):
@@ -265,7 +264,7 @@ def best_link_summary(spark, folder):
 
 def compared_of(spark: SparkSession, folder: str) -> N.Network:
     """English against all other documents, each its own network on one vocabulary."""
-    docs = storage.table(spark, folder, "documents")
+    docs = storage.spread(storage.table(spark, folder, "documents").select("doc_id", "text", "lang"))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     words = words_of(spark, folder).drop("df")
     sides = [N.build(N.parse_content(docs.where(c).select("doc_id", "text"), words, how="lower"), CUT_KEEP) for c in (english, ~english)]
@@ -301,9 +300,9 @@ def basket_pagerank(spark, folder):
 
 
 def conversation_cooc(spark, folder):
-    turns = storage.table(spark, folder, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("win_ix"), text.words(F.col("text")).alias("words"))
+    turns = storage.spread(storage.table(spark, folder, "conversations")).select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("win_ix"), text.words(F.col("text")).alias("words"))
     words = words_of(spark, folder).drop("df")
-    return cooc.counts(cooc.pairs(match.matches(turns, words, "lower")))
+    return cooc.counts(cooc.window_pairs(match.in_windows(turns, words, "lower")))
 
 
 QUERIES = {

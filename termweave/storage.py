@@ -12,13 +12,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores where a table of few files would keep most of them idle.
+
+    A table with more splits than twice the cores, or as many files as cores, is read
+    where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 2 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute a table now and cut its lineage by a reliable checkpoint.
 
     The cluster's ``spark.checkpoint.dir`` is used; only where none is set, as in local
-    tests, a temporary folder is.
+    tests, a temporary folder is. A cluster without it is refused, since each executor
+    would write to its own disk.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="termweave-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="termweave-"))
     return df.checkpoint()
