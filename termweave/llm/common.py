@@ -11,8 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 18
+#: A key with this share of the rows, and so many rows at least, is not dealt to one task.
+HOT_KEYS, LEAST_HOT = 10_000, 100
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Return the folder that driver and executors share.
 
     It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, is a temporary folder made and used instead.
+    local tests, is a temporary folder made and used instead; a cluster without it is
+    refused, since each executor would write to its own disk.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="termweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -62,7 +68,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._written = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df._written)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Join rows with the one row of their key where few keys may hold most of the rows.
+
+    ``right`` has each key once, with the number of its rows on the left as ``size``.
+    Keys with a HOT_KEYS-th of all ``total`` rows or more are fewer than HOT_KEYS, so
+    they are sent to all tasks and their rows stay where they are; only the rest is
+    dealt by key.
+    """
+    least = max(LEAST_HOT, total // HOT_KEYS)
+    hot = right.where(F.col(size) >= least)
+    met = left.join(F.broadcast(hot), key)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) < least), key)
+    return met.unionByName(cold)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,19 +16,21 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs every node's larger neighbours under its smallest neighbour, then
     every node and its smaller neighbours under the smallest of them; the link table
     becomes one star per component in a logarithmic number of rounds and never grows
-    beyond its size. A node with very many links is summed before it is dealt: minima
-    are partial aggregates, and the joins with them are split by the engine.
+    beyond its size. Minima are partial aggregates, and a node with very many links is
+    joined with its minimum where its links are, so no star is dealt to one task. Each
+    round's table replaces the one before.
     """
     at = common.materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
-    known = None
+    known = state(at)
     for _ in range(MOST_ROUNDS):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        at = common.materialize(small, "links")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = common.join_hot(both, least, "u", "n", 2 * known[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.join_hot(large, low, "u", "n", known[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        before, at = at, common.materialize(small, "links")
+        common.release(before)
         last, known = known, state(at)
         if known == last:
             break

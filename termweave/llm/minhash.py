@@ -8,7 +8,8 @@ miss probability. What survives is verified exactly on the full shingle sets.
 Groups are never expanded into all pairs. Equal sets are reduced to one member first.
 Then each bucket links its members to the smallest one. Only where members of a bucket
 stay in different components are they compared across components, in square blocks of
-bounded size, which is exact for buckets of any size.
+bounded size, which is exact for buckets of any size. Blocks hold sketches only; texts
+are fetched for those members that a sketch could not part from all others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +27,18 @@ from termweave.llm import common, words
 from termweave.llm.components import components
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 5
 SIGNATURE = BANDS * ROWS
 THRESHOLD_PERCENT = 80
 BATCH = 16
 #: Probability of dropping a pair that reaches the threshold, at each batch.
 MISS = 1e-9
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
-#: Members that one task verifies against their leader's text.
-STAR = 512
-SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, signature binary"
+#: Members of a bucket whose sketches one task compares with as many others', and bytes of texts.
+BLOCK, BLOCK_BYTES = 8_192, 16 << 20
+#: Members, and bytes of their texts, that one task verifies against their leader's text.
+STAR, STAR_BYTES = 512, 32 << 20
+SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, sketch binary, bands array<bigint>"
+LINK = "a bigint, b bigint"
 _rng = np.random.default_rng(20_240_229)
 FACTORS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -71,34 +72,47 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def sign_batches(size: int):
-    """Arrow function from (doc_id, text) to set size, set hash and signature."""
+    """Arrow function from (doc_id, text) to set size, set hash, sketch and band keys.
+
+    The sketch has one byte of each minimum, which is enough to compare signatures; the
+    keys of the bands are hashes of the whole minima.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = common.text_buffers(batch.column("text"))
-            sizes, hashes, signatures = [], [], []
+            n = len(batch)
+            sizes, whole, sign = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64), np.zeros((n, SIGNATURE), np.uint32)
             for a, b in common.runs(ends):
                 bounds, sets = shingle_sets(raw, ends[a : b + 1], size)
-                count = np.diff(bounds)
-                full = np.flatnonzero(count)
-                sign = np.zeros((b - a, SIGNATURE), np.uint32)
-                whole = np.zeros((b - a, 2), np.uint64)
+                sizes[a:b] = np.diff(bounds)
+                full = np.flatnonzero(sizes[a:b])
                 if len(full):
                     at = bounds[:-1][full]
+                    full = full + a
                     for k in range(SIGNATURE):
                         h = sets * FACTORS[k] + OFFSETS[k]
                         sign[full, k] = np.minimum.reduceat((h >> np.uint64(32)).astype(np.uint32), at)
                     whole[full, 0] = np.add.reduceat(words.mix(sets + np.uint64(1)), at)
                     whole[full, 1] = np.bitwise_xor.reduceat(words.mix(sets + np.uint64(7)), at)
-                sizes.append(count)
-                hashes += [w.tobytes() if n else None for w, n in zip(whole, count)]
-                signatures += [s.tobytes() if n else None for s, n in zip(sign, count)]
-            sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_hash", "signature"])
+            none = sizes == 0
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(none, 0, BANDS))), pa.int32()), pa.array(band_keys(sign[~none]).ravel().view(np.int64)))
+            hashes = pa.array([None if e else w.tobytes() for w, e in zip(whole, none)], pa.binary())
+            sketches = pa.array([None if e else s.tobytes() for s, e in zip(sign.astype(np.uint8), none)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), hashes, sketches, bands], ["doc_id", "n_shingles", "set_hash", "sketch", "bands"])
 
     return run
 
 
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """The bucket of each band of some signatures."""
+    rows = sign.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
+    for k in range(ROWS):
+        keys = words.mix(keys * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, :, k])
+    return keys
+
+
 @lru_cache
 def least_agreeing(threshold: float, miss: float) -> np.ndarray:
     """For each number of compared positions, the fewest that must agree to go on.
@@ -131,124 +145,162 @@ def survivors(a: np.ndarray, b: np.ndarray, threshold: float, miss: float = MISS
     return alive
 
 
-def signatures(column: pd.Series) -> np.ndarray:
-    """Signatures of a binary column as one array."""
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SIGNATURE)
+def sketches(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches of a binary column as one array."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
 
 
-def prune_batches(threshold: float):
-    """Arrow function keeping (a, b) pairs whose signatures pass the sequential test."""
+def sets_of(column: pa.ChunkedArray, size: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    raw, ends = common.text_buffers(column)
+    sets: list[np.ndarray] = []
+    for a, b in common.runs(ends):
+        bounds, values = shingle_sets(raw, ends[a : b + 1], size)
+        sets += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+    return sets
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            kept = survivors(signatures(rows["sign_a"]), signatures(rows["sign_b"]), threshold) if len(rows) else []
-            yield rows.iloc[kept][["a", "b"]]
 
-    return run
+def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(one) or not len(two):
+        return False
+    shared = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+    return 100 * shared >= percent * (len(one) + len(two) - shared)
+
 
+def links_of(rows: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*rows) if rows else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def verify_group(percent: int, size: int):
-    """Function that verifies one leader's members on full sets."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        lead = rows[rows["b"].isna()]
-        rest = rows[rows["b"].notna()]
-        if not len(lead) or not len(rest):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        raw, ends = common.text_buffers(pa.array([lead["text"].iloc[0], *rest["text"]], pa.string()))
-        _, own = shingle_sets(raw, ends[:2], size)
-        linked = []
-        for a, b in common.runs(ends[1:]):
-            bounds, sets = shingle_sets(raw, ends[1 + a : 2 + b], size)
-            at = np.minimum(np.searchsorted(own, sets), max(0, len(own) - 1))
-            hit = np.append(0, np.cumsum(own[at] == sets)) if len(own) else np.zeros(len(sets) + 1, np.int64)
-            shared = hit[bounds[1:]] - hit[bounds[:-1]]
-            union = len(own) + np.diff(bounds) - shared
-            linked += (100 * shared >= percent * union).tolist()
-        members = rest["b"][np.array(linked)].astype("int64")
-        return pd.DataFrame({"a": np.full(len(members), key[0], "int64"), "b": members.to_numpy()})
+
+def verify_star(percent: int, size: int):
+    """Function on one leader's row (b null) and members: those that are linked with it.
+
+    Members go through the sequential test on sketches; what it leaves is verified on
+    full sets.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("b").is_valid().to_numpy(zero_copy_only=False), kind="stable")
+        rows = rows.take(pa.array(order))
+        if len(rows) < 2:
+            return links_of([])
+        marks, ids = sketches(rows.column("sketch")), rows.column("b").to_pylist()
+        likely = 1 + survivors(np.broadcast_to(marks[0], (len(marks) - 1, SIGNATURE)), marks[1:], percent / 100)
+        sets = sets_of(rows.column("text").take(pa.array(np.append(0, likely))), size)
+        lead = rows.column("a")[0].as_py()
+        return links_of([(lead, ids[k]) for k, own in zip(likely, sets[1:]) if linked(sets[0], own, percent)])
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def verify(pairs: DataFrame, held: DataFrame, percent: int, size: int) -> DataFrame:
     """Keep the (a, b) pairs whose full shingle sets reach the threshold.
 
-    Members of one leader a are dealt to parts of about STAR rows, each with a copy of
-    the leader's text, so a leader with very many members needs no large task.
+    Members of one leader a are dealt to parts of bounded rows and bytes, each with a
+    copy of the leader's row, so a leader with very many members needs no large task.
+    """
+    facts = held.select("doc_id", "sketch", "text")
+    counts = pairs.join(held.select(F.col("doc_id").alias("b"), F.octet_length("text").alias("bytes")), "b").groupBy("a").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = common.materialize(counts.select("a", "n", F.greatest(F.ceil(F.col("n") / STAR), F.ceil(F.col("bytes") / STAR_BYTES)).cast("int").alias("parts")), "parts")
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    dealt = common.join_hot(pairs, parts, "a", "n", total)
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("doc_id"))
+    leaders = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), F.col("a").alias("doc_id"))
+    full = members.unionByName(leaders).join(facts, "doc_id").select("a", "part", "b", "sketch", "text")
+    return full.groupBy("a", "part").applyInArrow(verify_star(percent, size), LINK)
+
+
+MEMBER = "bucket bigint, band int, doc_id bigint, component_id bigint"
+
+
+def tile_pairs(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a tile: the other side's rows in other components that no sketch parts from it.
+
+    A pair is looked at in the bucket of the first band that it shares, so once in all.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("doc_id"))
-    leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), F.col("a").alias("doc_id"))
-    wanted = members.unionByName(leaders)
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id").select("a", "part", "b", "text")
-    return texts.groupBy("a", "part").applyInPandas(verify_group(percent, size), "a bigint, b bigint")
+    side, ids, comp = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component_id"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    same = not len(right)
+    right = left if same else right
+    marks, band = sketches(rows.column("sketch")), rows.column("band")[0].as_py()
+    keys = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, :band]
+    for i in left:
+        at = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if same else True)]
+        at = at[survivors(np.broadcast_to(marks[i], (len(at), SIGNATURE)), marks[at], percent / 100)]
+        yield i, at[(keys[at] != keys[i]).all(axis=1)]
+
+
+def open_members(percent: int):
+    """Function on one tile of sketches: the rows that take part in any pair to be verified."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = np.zeros(len(rows), bool)
+        for i, at in tile_pairs(rows, percent):
+            part[at] = True
+            part[i] |= len(at) > 0
+        return rows.filter(pa.array(part)).select(["bucket", "band", "doc_id", "component_id"])
 
+    return run
 
-def compare_blocks(percent: int, size: int):
-    """Function that links two blocks of one bucket across components.
 
-    A pair whose signatures survive the sequential test is verified on full sets here,
-    by the bucket of the first band that it shares, so once in all. What is found joins
-    components, and pairs within one are not looked at again.
+def compare_tile(percent: int, size: int):
+    """Function on one tile with texts: links that join components.
+
+    Pairs within one component are not looked at again, nor those that a link found
+    here has joined.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
-        same = not len(right)
-        right = left if same else right
-        ids, comp, band = rows["doc_id"].to_numpy(), rows["component_id"].to_numpy().copy(), int(rows["band"].iloc[0])
-        sign = signatures(rows["signature"])
-        raw, ends = common.text_buffers(pa.array(rows["text"], pa.string()))
-        sets: list[np.ndarray] = []
-        for a, b in common.runs(ends):
-            bounds, values = shingle_sets(raw, ends[a : b + 1], size)
-            sets += [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-        sizes = np.array([len(x) for x in sets])
-        found: list[tuple[int, int]] = []
-        for i in left:
-            at = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if same else True)]
-            at = at[percent * np.maximum(sizes[at], sizes[i]) <= 100 * np.minimum(sizes[at], sizes[i])]
-            at = at[survivors(np.broadcast_to(sign[i], (len(at), SIGNATURE)), sign[at], percent / 100)]
-            if not len(at):
-                continue
-            first = (sign[i].reshape(BANDS, ROWS) == sign[at].reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
-            for k in at[first == band]:
-                if comp[k] == comp[i]:
-                    continue
-                place = np.minimum(np.searchsorted(sets[i], sets[k]), max(0, sizes[i] - 1))
-                shared = int((sets[i][place] == sets[k]).sum()) if sizes[i] else 0
-                if 100 * shared >= percent * (sizes[i] + sizes[k] - shared):
+    def run(rows: pa.Table) -> pa.Table:
+        ids, comp = rows.column("doc_id").to_numpy(), rows.column("component_id").to_numpy().copy()
+        sets, found = sets_of(rows.column("text"), size), []
+        for i, at in tile_pairs(rows, percent):
+            for k in at:
+                if comp[k] != comp[i] and linked(sets[i], sets[k], percent):
                     found.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
                     comp[comp == comp[k]] = comp[i]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        return links_of(found)
 
     return run
 
 
-def cross_links(buckets: DataFrame, signed: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+def tiles(member: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """Deal each bucket's members to its k (k + 1) / 2 tiles: block x with block y."""
+    blocks = common.join_hot(member, groups, "bucket", "n", total).withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("k")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, "own").alias("x"), F.greatest(x, "own").alias("y"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
+    dealt = blocks.select("bucket", "band", "doc_id", "component_id", F.explode(every).alias("tile"))
+    return dealt.select("bucket", "band", "tile.x", "tile.y", "tile.side", "doc_id", "component_id")
+
+
+def cross_links(buckets: DataFrame, held: DataFrame, labels: DataFrame, percent: int, size: int) -> DataFrame:
     """Verified links between a bucket's members that are in different components.
 
     The bucket's pairs with its smallest member have been verified before; so buckets
-    of two, or of one component, are done. A bucket with n members has (n / BLOCK)² / 2 tasks of 2 · BLOCK rows, whatever
-    n is, and only links leave them.
+    of two, or of one component, are done. Sketches are compared in tiles of 2 · BLOCK
+    members, whatever a bucket holds. The members that no tile can settle meet again
+    with their texts, in tiles of about 2 · BLOCK_BYTES, and only links leave these.
     """
-    member = buckets.join(labels, "doc_id")
-    open_ = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("n > 2 and lo < hi")
-    blocks = member.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("k")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, "own").alias("x"), F.greatest(x, "own").alias("y"), F.when(x < F.col("own"), 1).otherwise(0).alias("side")))
-    dealt = blocks.select("bucket", "band", "doc_id", "component_id", F.explode(tiles).alias("tile")).select("bucket", "band", "tile.x", "tile.y", "tile.side", "doc_id", "component_id")
-    full = dealt.join(signed.select("doc_id", "signature"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    return full.groupBy("bucket", "x", "y").applyInPandas(compare_blocks(percent, size), "a bigint, b bigint")
+    member = buckets.select("bucket", "band", "doc_id").join(labels, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    groups = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("n > 2 and lo < hi")
+    groups = common.materialize(groups.select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "open")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    marked = tiles(member, groups, total).join(held.select("doc_id", "sketch", "bands"), "doc_id")
+    left = marked.groupBy("bucket", "x", "y").applyInArrow(open_members(percent), MEMBER).distinct()
+    left = common.materialize(left, "unsettled")
+    sizes = left.join(held.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = common.materialize(sizes.select("bucket", "n", F.ceil((F.col("bytes") + 1) / BLOCK_BYTES).cast("int").alias("k")), "unsettled")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    full = tiles(left, sizes, total).join(held.select("doc_id", "sketch", "bands", "text"), "doc_id")
+    return full.groupBy("bucket", "x", "y").applyInArrow(compare_tile(percent, size), LINK)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Give each document its set size, its component and whether it stays.
 
-    One row comes out for each row of (doc_id, text). Rows without doc_id stay.
-    Repeated doc_ids count as one document each with the set of its first row in text
-    order; only if there are any is the table reduced to those. Null, empty and blank
-    texts have no shingles and are linked with nothing. An empty table gives an empty one.
+    One row comes out for each row of (doc_id, text). Rows without doc_id stay, have no
+    component and are linked with nothing. Rows that repeat a doc_id are one document
+    with the least of their texts, and all get its result. Null, empty and blank texts
+    have no shingles and are linked with nothing. An empty table gives an empty one.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -260,36 +312,43 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
 def distinct_documents(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The same for documents without repeated doc_ids."""
-    threshold = percent / 100
-    schema = SIGNED
-    signed = common.materialize(docs.select("doc_id", "text").mapInArrow(sign_batches(shingle_words), schema), "signed")
+    signed = common.materialize(docs.select("doc_id", "text").mapInArrow(sign_batches(shingle_words), SIGNED), "signed")
     # equal sets: one member stands for all
     alike = signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    stands = alike.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    once = alike.join(stands, (alike["doc_id"] == stands["rep"]) & (alike["set_hash"] == stands["set_hash"]), "left_semi")
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    banded = once.select("doc_id", F.posexplode(keys).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = common.materialize(banded.join(shared, "bucket").select("bucket", "band", "doc_id", "a"), "buckets")
-    pairs = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    sign = once.select(F.col("doc_id"), "signature")
-    with_signs = pairs.join(sign.select(F.col("doc_id").alias("a"), F.col("signature").alias("sign_a")), "a").join(sign.select(F.col("doc_id").alias("b"), F.col("signature").alias("sign_b")), "b")
-    likely = with_signs.mapInPandas(prune_batches(threshold), "a bigint, b bigint")
-    links = common.materialize(verify(common.materialize(likely, "likely"), docs, percent, shingle_words), "links")
+    stands = common.materialize(alike.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "stands")
+    once = alike.join(stands.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    banded = common.materialize(once.select("doc_id", F.posexplode("bands").alias("band", "bucket")), "banded")
+    shared = common.materialize(banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    buckets = common.materialize(common.join_hot(banded, shared, "bucket", "n", total).select("bucket", "band", "doc_id", "a"), "buckets")
+    common.release(banded, shared)
+    pairs = common.materialize(buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    # what is compared from here on: the sketch, band keys and text of each member of a bucket
+    member = common.materialize(buckets.select("doc_id").distinct(), "members")
+    held = common.materialize(member.join(signed.select("doc_id", "sketch", "bands"), "doc_id").join(docs.select("doc_id", "text"), "doc_id"), "held")
+    links = common.materialize(verify(pairs, held, percent, shingle_words), "found")
     labels = components(links)
-    every = buckets.select("doc_id").distinct().join(labels, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    more = common.materialize(cross_links(buckets.select("bucket", "band", "doc_id"), once, every, docs, percent, shingle_words), "across")
+    more = common.materialize(cross_links(buckets, held, labels, percent, shingle_words), "across")
+    common.release(buckets, pairs, member, held)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return label_all(signed, stands, labels)
 
 
 def label_all(signed: DataFrame, stands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bring the representatives' components back to all documents."""
-    named = stands.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_hash", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    full = signed.select("doc_id", "n_shingles", "set_hash").join(named, ["set_hash", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return full.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    """Bring the representatives' components back to all documents.
+
+    Equal sets can be very many; those are joined where they are.
+    """
+    found = stands.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    of_set = F.struct("set_hash", "n_shingles").alias("set")
+    named = common.materialize(found.select(of_set, F.coalesce("component_id", "rep").alias("component_id"), "copies"), "named")
+    rows = signed.select("doc_id", "n_shingles", "set_hash")
+    linked = F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    met = common.join_hot(rows.where(linked).select("doc_id", of_set), named, "set", "copies", total).select("doc_id", "set.n_shingles", "component_id")
+    alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return met.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
