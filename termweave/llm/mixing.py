@@ -8,6 +8,7 @@ nonnegative rates whose expected domain totals match the targets in least square
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termweave.llm import common, words
 from termweave.llm.toxicity import BITS, Ftrl, features
@@ -104,8 +106,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Clas
     return Classifier(tuple(p["bucket"].to_numpy() for p in parts), tuple(p["weight"].to_numpy() for p in parts))
 
 
-def posterior_batches(held):
-    """Arrow function from (doc_id, text) to token counts and domain posteriors."""
+def posterior_batches(held, names: list[str]):
+    """Arrow function adding token counts and domain posteriors to rows with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value.dense()
@@ -118,15 +120,17 @@ def posterior_batches(held):
                     sums[a:b, k] += np.bincount(every >> BITS, weights=table[every & (BIAS - 1), k], minlength=b - a)
             toxic, high = (1 / (1 + np.exp(-np.clip(sums, -35, 35)))).T
             columns = ((1 - toxic) * high, (1 - toxic) * (1 - high), toxic)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), *map(pa.array, columns)], ["doc_id", "n_tokens", *DOMAINS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tokens), *map(pa.array, columns)], [*names, "n_tokens", *DOMAINS])
 
     return run
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """Token count and domain posteriors of each row; a null or blank text has no tokens."""
+def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of each row with token count and domain posteriors; a null or blank text has no tokens."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(posterior_batches(held), "doc_id bigint, n_tokens bigint, " + ", ".join(f"{d} double" for d in DOMAINS))
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(d, T.DoubleType()) for d in DOMAINS)])
+    return docs.select(*{*keep, "text"}).mapInArrow(posterior_batches(held, list(keep)), schema)
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -137,13 +141,14 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
+def fit_rates(soft: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], float]:
     """Projected-gradient steps that bring the expected domain totals to ``targets``.
 
     A step moves each rate against the gradient of the squared error, measured in the
     metric of the documents that can still move (those above 0, and those that the step
     would raise), and projects it on the nonnegative numbers. Each step is one pass over
-    all documents; the driver sees one total for each domain and pair of domains.
+    all documents; the driver sees one total for each domain and pair of domains. Gives
+    the steps that came nearest and their error, as a share of all targets.
     """
     k = len(targets)
     steps: list[np.ndarray] = []
@@ -172,7 +177,7 @@ def fit_rates(soft: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
             break
         metric = found[k:].reshape(k, k)
         steps.append(np.linalg.solve(metric + np.eye(k) * max(1e-9 * np.trace(metric), 1e-9), error))
-    return best
+    return best, best_error
 
 
 def uniform(doc_id: Column) -> Column:
@@ -180,28 +185,35 @@ def uniform(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, size: float = SIZE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, size: float = SIZE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Posteriors, rate and number of copies of each row of (doc_id, text).
 
-    ``copies`` is the rate rounded up or down by a number drawn from doc_id, so that its
-    expectation is the rate. Where no rates reach the targets (a domain without tokens),
-    the nearest totals that the steps found are kept. Texts without tokens have no say
-    and the rate of their posterior. Repeated rows are separate documents. An empty
+    One row out for each row in, with its columns ``keep`` (like-named ones give way to
+    the results). ``copies`` is the rate rounded up or down by a number drawn from
+    doc_id, so that its expectation is the rate. Where no rates reach the targets (a
+    domain without tokens), the nearest totals that the steps found are kept;
+    ``fit_error`` is how far these are off, as a share, and a warning says so where it
+    is above CLOSE. Texts without tokens have no say and the rate of their posterior.
+    Null and repeated doc_ids are separate documents, equal ones with one draw. An empty
     table gives an empty one; without labels all documents are alike.
     """
     weights = weights or WEIGHTS
-    soft = common.materialize(posteriors(docs, learn(docs, labels)), "posteriors")
-    total = soft.agg(F.sum("n_tokens")).first()[0] or 0
+    keep = [c for c in keep if c not in {"n_tokens", *DOMAINS, "rate", "copies", "fit_error"}]
+    soft = common.materialize(posteriors(docs, learn(docs, labels), keep), "posteriors")
+    facts = soft.select("n_tokens", *DOMAINS)
+    total = facts.agg(F.sum("n_tokens")).first()[0] or 0
     targets = np.array([weights[d] for d in DOMAINS]) * size * total / sum(weights.values())
-    steps = fit_rates(soft, targets) if total else []
+    steps, error = fit_rates(facts, targets) if total else ([], 0.0)
+    if error > CLOSE:
+        warnings.warn(f"the mixed totals are {error:.2g} of all tokens off their targets", stacklevel=2)
 
     def rate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(d).to_numpy() for d in DOMAINS], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, steps))], [*batch.schema.names, "rate"])
 
-    rated = soft.mapInArrow(rate_batches, "doc_id bigint, n_tokens bigint, " + ", ".join(f"{d} double" for d in DOMAINS) + ", rate double")
-    return rated.withColumn("copies", F.floor(F.col("rate") + uniform(F.col("doc_id"))).cast("long"))
+    rated = soft.mapInArrow(rate_batches, T.StructType([*soft.schema.fields, T.StructField("rate", T.DoubleType())]))
+    return rated.withColumns({"copies": F.floor(F.col("rate") + uniform(F.col("doc_id"))).cast("long"), "fit_error": F.lit(float(error))})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Each operator on null, empty, long and repeated rows, clashing columns and empty tables, and against plain code."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +105,13 @@ def variants(seed, n, words=60, edits=4):
 @pytest.mark.parametrize("block", [minhash.BLOCK, 4])
 def test_near_duplicates(spark, rows, none, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", minhash.BLOCK_BYTES if block > 4 else 900)
     texts = {i: t for i, t in rows if i and i != 11}
     texts |= {100 + i: t for i, t in enumerate(variants(5, 40) + variants(6, 25, 30, 6) + [prose(7, 3), prose(7, 3).upper()])}
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id bigint, text string, component_id string")
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in [*texts.items(), (None, texts[5])]], "doc_id bigint, text string, component_id string")
     got = table(minhash.near_duplicates(docs, shingle_words=4))
+    alone = got.pop(None)
+    assert (alone["component_id"], alone["kept"]) == (None, True)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(texts, 4)
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
     if block != 4:
@@ -125,11 +131,12 @@ def test_near_duplicates_of_repeated_ids(spark):
 
 def test_bayes_bounds():
     least = minhash.least_agreeing(0.8, 1e-9)
-    assert 0 < least[64] < least[128] < 0.8 * 128
-    a = np.arange(128, dtype=np.uint32)[None, :].repeat(3, 0)
+    n = minhash.SIGNATURE
+    assert 0 < least[n // 2] < least[n] < 0.8 * n
+    a = np.arange(n, dtype=np.uint8)[None, :].repeat(3, 0)
     b = a.copy()
-    b[1, ::2] += 1000
-    b[2, ::10] += 1000
+    b[1, ::2] += 100
+    b[2, ::10] += 100
     assert minhash.survivors(a, b, 0.8).tolist() == [0, 2]
 
 
@@ -156,13 +163,77 @@ def test_bpe_against_library(docs, rows, none):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == expected
     assert bpe.token_digests(none, path).count() == 0
     model = bpe.load(path)
-    long = "".join(random.Random(3).choice("abethnio") for _ in range(20_000))
-    assert list(model.stream(model.symbols(long))) == library.encode(long, add_special_tokens=False).tokens
     ids = library.encode("Déjà vu, 東京!", add_special_tokens=False).ids
-    assert "".join(model.text(ids)).split() == ["déjà", "vu", ",", "東京", "!"]
+    plain = bpe.Decoder(model, plain=True)
+    assert "".join([plain.push([at]) for at in ids] + [plain.finish()]).split() == ["déjà", "vu", ",", "東京", "!"]
     assert bpe.encode_column(docs.where("doc_id = 4"), path).first()["ids"] == library.encode("word", add_special_tokens=False).ids
 
 
+def test_bpe_in_chunks():
+    """Words and texts without white space that are longer than any chunk, and cuts at every kind of character."""
+    from tokenizers import Tokenizer
+
+    path = common.package_path(bpe.TOKENIZER)
+    library, model, r = Tokenizer.from_file(path), bpe.load(path), random.Random(3)
+    long = "".join(r.choice("abethnio") for _ in range(20_000))
+    texts = [long, "日本語東京" * 900, "한국어" * 500, "ᄒ\u1161ᆫ" * 400, "e\u0301" * 700, "İΣΑΣ" * 300, "we'reallthey'veit's" * 90, "a1b2--" * 300, "!" * 3_000 + long[:3_000] + " x " + long]
+    texts += ["".join(r.choice("ab'srevt 1!é\u0301Σİ日한ᄒ\u1161ᆨ\n\x1c\u2003<|") for _ in range(600)) for _ in range(60)] + ["x<|endoftext|>" * 200 + long]
+    for t in texts:
+        expected = library.encode(t, add_special_tokens=False).ids
+        for chunk in (8, 37, 1_000, bpe.CHUNK):
+            model.kept.clear()
+            assert np.frombuffer(b"".join(model.encode(t, chunk)), "<u4").tolist() == expected, (t[:40], chunk)
+
+
+def test_bpe_emits_early():
+    """The transducer holds no more than lookahead and block, however long a word is."""
+    model = bpe.load(common.package_path(bpe.TOKENIZER))
+    assert 32 <= model.lookahead < 200
+    machine, out, r = bpe.Transducer(model), 0, random.Random(4)
+    for n in range(200):
+        out += sum(map(model.size, machine.push("".join(r.choice("abethnio") for _ in range(1_000)))))
+        assert len(machine.held) <= 2 * (model.lookahead + bpe.BLOCK) and out + len(machine.held) == 1_000 * (n + 1)
+
+
+def small_bpe(pairs):
+    model = bpe.Bpe.__new__(bpe.Bpe)
+    model.suffix, model.ranks = "", {pair: (rank, pair[0] + pair[1]) for rank, pair in enumerate(pairs)}
+    return model
+
+
+def ends(tokens):
+    return np.cumsum([len(t) for t in tokens]).tolist()
+
+
+def test_sufficient_lookahead():
+    """No continuation changes a token behind whose end so many symbols were read; one symbol less often is too few."""
+    r, tight, n = random.Random(5), 0, 0
+    for trial in range(60):
+        letters, pairs = "ab" if trial % 2 else "abc", []
+        tokens = list(letters)
+        for _ in range(r.randrange(2, 9)):
+            u, w = r.choice(tokens), r.choice(tokens)
+            if u + w not in tokens and len(u + w) <= 6:
+                pairs.append((u, w))
+                tokens.append(u + w)
+        if not pairs:
+            continue
+        model, ahead, n = small_bpe(pairs), bpe.sufficient_lookahead(pairs), n + 1
+        need = 0
+        for text in map("".join, itertools.product(letters, repeat=9 if len(letters) == 2 else 7)):
+            whole = ends(model.merge(list(text)))
+            for k in range(1, len(text)):
+                start = model.merge(list(text[:k]))
+                for token, end in zip(start, ends(start)):
+                    if k - end < ahead.get(token, 0):
+                        break
+                    assert end in whole, (pairs, text, k)
+                need = max([need, *(k - end + 1 for end in set(ends(start)) ^ {x for x in whole if x < k} if end < k)])
+        assert need <= max(ahead.values())
+        tight += need == max(ahead.values())
+    assert tight > n / 3
+
+
 # 4
 
 
@@ -280,34 +351,75 @@ def test_syncmers(spark, docs, rows, none):
     assert syncmer.fingerprints(none).count() == 0
 
 
-def test_syncmer_choice(spark):
-    """The anchors are those that the definition gives on hashes of words."""
-    words = prose(9, 200).split()
-    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    h = [hashes[w] for w in words]
-    k = syncmer.K
-    places = [i for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])]
-    mers = spark.createDataFrame([tuple(h[i : i + k]) for i in places], ", ".join(f"c{j} bigint" for j in range(k)))
-    expected = {r[0] for r in mers.select(F.xxhash64(*mers.columns).bitwiseAND(F.lit(0xFFFFFFFF))).collect()}
-    got = spark.createDataFrame([(" ".join(words),)], "t string").select(syncmer.anchors(F.col("t"))).first()[0]
-    assert got == sorted(expected)
-
-
-def test_syncmers_of_short_texts(spark):
-    """Each text with words has an anchor: all K-mers where none is a closed syncmer."""
-    texts = {i: " ".join(f"w{i}x{j}" for j in range(1 + i % 15)) for i in range(300)}
-    split = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").select("doc_id", syncmer.anchors(F.col("text")).alias("a"), F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
-    k, bare = syncmer.K, 0
-    for r in split.select("*", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - k)), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(k))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("mers")).collect():
-        n = len(r["h"])
-        assert r["a"], texts[r["doc_id"]]
-        if n >= k:
-            closed = [i for i in range(n - k + 1) if min(r["h"][i : i + k]) in (r["h"][i], r["h"][i + k - 1])]
-            assert r["a"] == sorted({r["mers"][i] for i in closed or range(n - k + 1)})
-            bare += not closed
-    assert bare > 10
-    got = syncmer.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
-    assert {r["near_next"] for r in got} == {0.0}
+UNSPACED = "日本語東京ไทย"
+
+
+def words_of(text):
+    return re.findall(f"[{UNSPACED}]|[^ \t-\r{UNSPACED}]+", text)
+
+
+def brute_anchors(spark, texts):
+    """{text: {hash: first place}} by the definition, on Spark's hashes of words and runs of words."""
+    split, k = {t: words_of(t) for t in texts}, syncmer.K
+    every = sorted({w for ws in split.values() for w in ws})
+    hashes = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = sorted({tuple(hashes[w] for w in ws[i : i + k]) for ws in split.values() for i in range(len(ws) - k + 1)} | {(h,) for h in hashes.values()})
+    mers = {}
+    for n in (1, k):
+        own = [r for r in runs if len(r) == n]
+        frame = spark.createDataFrame(own, ", ".join(f"c{j} bigint" for j in range(n)))
+        mers |= {tuple(r[:n]): r[n] >> 32 & 0xFFFFFFFF for r in frame.select("*", F.xxhash64(*frame.columns)).collect()}
+    out = {}
+    for t, ws in split.items():
+        h = [hashes[w] for w in ws]
+        if len(h) < k:
+            chosen, n = range(len(h)), 1
+        else:
+            chosen, n = [i for i in range(len(h) - k + 1) if min(h[i : i + k]) in (h[i], h[i + k - 1])] or range(len(h) - k + 1), k
+        out[t] = {}
+        for i in chosen:
+            out[t].setdefault(mers[tuple(h[i : i + n])], i)
+    return out
+
+
+def brute_likeness(a, b):
+    shifts = sorted(b[h] - a[h] for h in a.keys() & b.keys())
+    every = len(a.keys() | b.keys())
+    near = [s for s in shifts if abs(s - shifts[len(shifts) // 2]) <= syncmer.K + (len(a) + len(b)) / 4]
+    return len(near) / every if every else 1.0
+
+
+def test_syncmers_by_brute_force(spark):
+    """All columns on texts of 0 to 40 words, of scripts without blanks, and on near copies and rearranged ones."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{i}x{j}" for j in range(i)) for i in range(41)] + ["\t".join(r.choice(["日本", "東", "a", "ไทยไ", "b c"]) for _ in range(n)) for n in range(12)]
+    for n in (9, 60, 400):
+        base = prose(n, n).split()
+        less = [w for w in base if r.random() > 0.03]
+        texts += [" ".join(base), " ".join(less), " ".join(base[n // 2 :] + base[: n // 2]), " ".join(base * 2)]
+    texts += ["", None, " \n", texts[30], texts[30]]
+    got = {x["doc_id"]: x for x in syncmer.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 3] + plain[i - 1][: len(t) // 3] for i, t in enumerate(plain)]
+    known = brute_anchors(spark, plain + edited)
+    string = lambda t: ",".join(f"{h:08x}@{i}" for i, h in sorted((i, h) for h, i in known[t].items()))
+    for i, t in enumerate(plain):
+        x = got[i]
+        assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (x["fingerprint"], x["edited_fingerprint"]) == (string(t), string(edited[i])), t
+        assert x["near_edited"] == pytest.approx(brute_likeness(known[t], known[edited[i]])) and x["near_next"] == pytest.approx(brute_likeness(known[t], known[plain[i - 1]])), t
+        assert not words_of(t) or x["fingerprint"]
+    near = [(got[i]["near_next"], i) for i in range(len(texts)) if words_of(plain[i]) and not set(words_of(plain[i])) & set(words_of(plain[i - 1]))]
+    assert len(near) > 20 and all(n == 0 for n, _ in near)
+
+
+def test_syncmer_positions(spark):
+    """A near copy is alike; the same passages in another order are not."""
+    base = prose(9, 400).split()
+    pairs = [(base, base), (base, [w for i, w in enumerate(base) if i % 97]), (base, base[200:] + base[:200])]
+    rows = spark.createDataFrame([(" ".join(a), " ".join(b)) for a, b in pairs], "a string, b string")
+    same, near, turned = (x[0] for x in rows.select(syncmer.likeness(syncmer.anchors(F.col("a")), syncmer.anchors(F.col("b")))).collect())
+    assert same == 1 and near > 0.7 and turned < 0.6
 
 
 # 9
@@ -339,11 +451,36 @@ def test_repeats(spark, rows, none, crowd):
         assert repeats.without_repeats(none, digest=True).count() == 0
 
 
+def test_repeats_of_a_very_common_passage(spark, monkeypatch):
+    """An anchor that most documents have is taken apart; the result is the same."""
+    passage = prose(21, 25)
+    texts = {i: f"{prose(500 + i, 25)} {passage} {prose(900 + i, 25)}" for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    packed = df.mapInArrow(repeats.segment_batches(12), repeats.ROW)
+    assert len(repeats.hot_anchors(packed, 60)) > 0 == len(repeats.hot_anchors(packed, 1_000))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.without_repeats(df, digest=True, crowd=60).collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_repeats_of_repeated_ids(spark):
+    """Rows of one doc_id are documents of their own, the lesser text first; others are judged right."""
+    a, b = prose(22, 60), prose(23, 60)
+    rows = [(1, "x " + a), (1, "b " + b[:350]), (2, f"{prose(24, 9)} {a[40:340]} {prose(25, 9)}"), (3, f"{b[100:300]} {prose(26, 30)}"), (3, f"{b[100:300]} {prose(26, 30)}"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted(r for r in rows if r[0] is not None)
+    expected = sorted((order[i][0], *v) for i, v in brute_repeats({i: t for i, (_, t) in enumerate(order)}).items())
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.without_repeats(df, digest=True).collect()]
+    assert sorted(x for x in got if x[0]) == expected and len(got) == len(rows) and [x[2] for x in got if x[0] is None] == [0]
+    whole = repeats.without_repeats(df).collect()
+    assert sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in whole if r["doc_id"]) == sorted((x[0], x[4]) for x in got if x[0])
+
+
 def test_repeats_keep_columns(spark, docs, rows):
     got = repeats.without_repeats(docs).collect()
     assert len(got) == len(rows) and "kept" in got[0].asDict()
     by = {r["doc_id"]: r for r in got}
     assert by[None]["text"] == rows[-1][1] and by[6]["text"] == "" and by[1]["text"] is None and by[11]["n_removed"] == 0
+    assert sorted(r["text"] for r in got if r["doc_id"] == 5) == ["", rows[4][1]]
 
 
 def test_run_index():
@@ -382,6 +519,87 @@ def test_language_id(spark, docs, rows, none):
     assert labelled_.count() == len(rows) and labelled_.columns.count("score") == 1
 
 
+def test_scripts():
+    texts = ["word naïve été", "мир", "שלום", "سلام", "բարեւ", "საქართველო", "ไทย", "日本", "かな", "한국", "नमस्ते", "ελληνικά", "“”", "wordмир", "𠀀"]
+    raw, ends = common.text_buffers(pa.array(texts))
+    found = words.find(raw, ends, words.LETTER)
+    got = [langid.SCRIPTS[k] for k in langid.word_scripts(found)]
+    assert got == ["Latin"] * 3 + ["Cyrillic", "Hebrew", "Arabic", "Armenian", "Georgian", "Thai", "Han", "Kana", "Hangul", "Devanagari", "Greek", "none", "Cyrillic", "Han"]
+
+
+def brute_labels(train, texts):
+    """Counts, posteriors and the best path in plain code."""
+    mask, big = 0xFFFFFFFF, (1 << 64) - 1
+
+    def bucket(a, b, c):
+        return (((((a * 0x01000193 & mask) ^ b) * 0x85EBCA6B & mask) ^ (c * 0xC2B2AE35 & mask)) * 0x9E3779B1 & mask) >> 16
+
+    def whole(w):
+        h = sum((b + 1) * pow(int(words.BASE), i, 1 << 64) for i, b in enumerate(w)) & big ^ len(w)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & big
+        return (h ^ h >> 31) >> 48
+
+    def split(text):
+        return [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
+
+    def grams(w):
+        p = b"\0" + w + b"\0"
+        return [bucket(*p[i : i + 3]) for i in range(len(w))]
+
+    def script(w):
+        return "Cyrillic" if any(0x400 <= ord(c) <= 0x52F for c in w.decode()) else "Latin"
+
+    langs = sorted({lang for _, _, lang in train})
+    counts = {lang: (Counter(), Counter(), Counter()) for lang in langs}
+    for i, text, lang in train:
+        if zlib.crc32(str(i).encode()) % 5:
+            for w in split(text):
+                counts[lang][0].update(grams(w))
+                counts[lang][1][whole(w)] += 1
+                counts[lang][2][script(w)] += 1
+
+    def score(w):
+        uses = [lang for lang in langs if counts[lang][2][script(w)] >= 1e-4 * max(1, counts[lang][2].total())]
+        logs = {}
+        for lang in uses or langs:
+            three, one, _ = counts[lang]
+            logs[lang] = sum(math.log((three[g] + 0.1) / (three.total() + 0.1 * 65536)) for g in grams(w)) + math.log((one[whole(w)] + 0.5) / (one.total() + 0.5 * 65536))
+        top = max(logs.values())
+        total = top + math.log(sum(math.exp(x - top) for x in logs.values()))
+        return {lang: max(logs[lang] - total, langid.FLOOR) if lang in logs else langid.OUT_OF_SCRIPT for lang in langs}
+
+    out = []
+    for text in texts:
+        ws = split(text)
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        best = {lang: (s, [lang]) for lang, s in score(ws[0]).items()}
+        for w in ws[1:]:
+            now = score(w)
+            best = {lang: max(((v - langid.SWITCH_PENALTY * (path[-1] != lang) + now[lang], [*path, lang]) for v, path in best.values()), key=lambda x: x[0]) for lang in langs}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        mass = Counter()
+        for w, lang in zip(ws, path):
+            mass[lang] += len(w)
+        lang = max(langs, key=lambda x: mass[x])
+        out.append((lang, mass[lang] / mass.total()))
+    return out
+
+
+def test_language_id_by_brute_force(spark):
+    alphabets, r = {"aa": "abcdeé", "bb": "cdefgh", "cc": "абвгд", "dd": "вгдежз"}, random.Random(12)
+    make = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randrange(1, 6))) for _ in range(n))
+    train = [(i, make(alphabets[lang], 25), lang) for i, lang in enumerate(list(alphabets) * 20)]
+    texts = [make(alphabets[lang], n) for lang in alphabets for n in (1, 2, 5, 30)] + [make("abcdefgh", 20), make("абвгдежз", 20), None, "", "12 !", "a", "abcde " * 9 + "вгд " * 2 + "abcde " * 9]
+    texts += [" ".join(make(alphabets[x], r.randrange(1, 25)) for x in r.choices(list(alphabets), k=r.randrange(2, 5))) for _ in range(40)]
+    model = langid.train(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    for x, (lang, share), text in zip(got, brute_labels(train, texts), texts):
+        assert (x["lang_pred"], x["score"]) == (lang, pytest.approx(share)), text
+
+
 def test_language_id_of_many_languages(spark, monkeypatch):
     """Languages beyond the 256 most frequent are learned, and sparse tables score as dense ones do."""
     r = random.Random(6)
