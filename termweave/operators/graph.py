@@ -50,6 +50,11 @@ def build(edges: DataFrame, kind: str = "undirected", nodes: DataFrame | None =
     return Graph(kind, (ends if nodes is None else ends.union(nodes.select("term"))).distinct(), arcs)
 
 
+def log_size(graph: Graph) -> DataFrame:
+    """The decimal logarithm of the number of nodes and one, as one row."""
+    return graph.nodes.agg(F.log10(F.count("*") + 1).alias("log_size"))
+
+
 def sub_graph(graph: Graph, terms: DataFrame) -> Graph:
     """The links with both ends among (term) rows; nodes left alone vanish."""
     inside = graph.arcs.join(terms.select(F.col("term").alias("src")), "src", "left_semi").join(terms.select(F.col("term").alias("dst")), "dst", "left_semi")
@@ -110,6 +115,19 @@ def eccentricity(reached: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("src").alias("term")).agg(F.max("dist").alias("ecc"))
 
 
+def eccentricities(graph: Graph, batches: int = 1) -> DataFrame:
+    """The same for all nodes of a graph, whose sources are taken in so many batches.
+
+    No more than one batch's distances are held at a time.
+    """
+    part = F.pmod(F.xxhash64("term"), F.lit(batches))
+    found = None
+    for k in range(batches):
+        own = storage.cut(eccentricity(distances(graph, graph.nodes.where(part == k))))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def diameter(reached: DataFrame) -> DataFrame:
     """Largest eccentricity as one row; null for an empty graph."""
     return reached.agg(F.max("dist").alias("diameter"))

@@ -35,6 +35,8 @@ def in_windows(windows: DataFrame, vocab: DataFrame, how: str = "lower", gate: b
     bounds = vocab.agg(F.max("n").alias("n"), F.count("*").alias("k")).first()
     if bounds["k"] <= ROW_PATHS:
         return _in_rows(windows, vocab, how, gate)
+    if windows.isStreaming:
+        raise ValueError(f"a stream is matched against at most {ROW_PATHS} paths")
     seen = windows.select("doc_id", "win_ix", "words", stem.lemmas(F.col("words"), how).alias("lemmas"))
     if gate:
         seen = seen.withColumn("ok", text.allowed(F.col("words")))

@@ -18,8 +18,6 @@ UNBIASED, BIASED = ("PR", "IPR", "CC", "ICC"), ("BPR", "IBPR")
 #: Up to so many arcs, and so many ranks, rounds run on arrays in one task.
 SMALL = 500_000
 
-
-
 def pagerank(graph: Graph, biases: dict[str, float] | None = None, damping: float = DAMPING, epsilon: float = EPSILON, epochs: int = EPOCHS) -> DataFrame:
     """Rank of each node: (term, rank).
 
@@ -36,40 +34,51 @@ def batch_pagerank(graph: Graph, seeds: dict, damping: float = DAMPING, epsilon:
 
     All seeds share each round's joins; a seed that has converged keeps its ranks.
     """
-    spark = graph.nodes.sparkSession
-    n = graph.nodes.count()
+    spark, n = graph.nodes.sparkSession, graph.nodes.count()
     if n and seeds and n * len(seeds) <= SMALL and graph.arcs.count() <= SMALL:
-        rows = graph.nodes.select("term", F.lit(None).cast("string").alias("dst")).unionByName(graph.arcs.select(F.col("src").alias("term"), "dst"))
-        return rows.coalesce(1).mapInPandas(_rank_in_one(dict(seeds), damping, epsilon, epochs), "seed string, term string, rank double")
+        return _on_arrays(graph, dict(seeds), damping, epsilon, epochs)
+    biased = spark.createDataFrame([(s, t, float(b)) for s, own in seeds.items() for t, b in own.items()], "seed string, term string, bias double")
+    every = spark.createDataFrame([(s, bool(own)) for s, own in seeds.items()], "seed string, scaled boolean")
+    return _by_exchange(graph, n, every, biased, damping, epsilon, epochs)
+
+
+def _on_arrays(graph: Graph, seeds: dict, damping: float, epsilon: float, epochs: int) -> DataFrame:
+    rows = graph.nodes.select("term", F.lit(None).cast("string").alias("dst")).unionByName(graph.arcs.select(F.col("src").alias("term"), "dst"))
+    return rows.coalesce(1).mapInPandas(_rank_in_one(seeds, damping, epsilon, epochs), "seed string, term string, rank double")
+
+
+def _by_exchange(graph: Graph, n: int, seeds: DataFrame, biased: DataFrame, damping: float, epsilon: float, epochs: int) -> DataFrame:
+    """The rounds for tables of seeds (seed, scaled) and biases (seed, term, bias) of any size.
+
+    The ranks are a row for each seed and node by contract. What is one row a seed is
+    joined without a hint, so that the engine sends it to all tasks if it is small.
+    """
     degree = graph.degrees()
-    biased = [(s, t, float(b)) for s, own in seeds.items() for t, b in own.items()]
-    scaled = [s for s, own in seeds.items() if own]
     shares = storage.cut(graph.arcs.join(degree.withColumnRenamed("term", "src"), "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")))
-    if not n or not seeds:
-        return graph.nodes.limit(0).select(F.lit(None).cast("string").alias("seed"), "term", F.lit(0.0).alias("rank"))
-    every = F.array(*(F.struct(F.lit(s).cast("string").alias("seed"), F.lit(s in scaled).alias("scaled")) for s in seeds))
-    factors = spark.createDataFrame(biased, "seed string, term string, bias double")
-    base = degree.select("term", (F.col("degree") == 0).alias("sink"), F.inline(every))
-    base = base.join(F.broadcast(factors), (base["term"] == factors["term"]) & base["seed"].eqNullSafe(factors["seed"]), "left").select(base["seed"], base["term"], "sink", "scaled", F.coalesce(factors["bias"] + 1.0, F.lit(1.0)).alias("factor"))
-    state = storage.cut(base.select("*", F.lit(1.0 / n).alias("rank"), F.lit(False).alias("done")))
-    for step in range(1, epochs + 1):
-        sent = state.select("seed", F.col("term").alias("src"), "rank").join(shares, "src").groupBy("seed", F.col("dst").alias("term")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    factors = biased.withColumnsRenamed({"seed": "of", "term": "at"})
+    base = degree.select("term", (F.col("degree") == 0).alias("sink")).crossJoin(seeds)
+    base = base.join(factors, (F.col("term") == F.col("at")) & F.col("seed").eqNullSafe(F.col("of")), "left").select("seed", "term", "sink", "scaled", F.coalesce(F.col("bias") + 1.0, F.lit(1.0)).alias("factor"))
+    state = storage.cut(base.select("*", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(False).alias("done")))
+    scales = not seeds.where("scaled").isEmpty()
+    of_seed = lambda rows, value, kind="left": (rows.join(value.withColumnRenamed("seed", "of"), F.col("seed").eqNullSafe(F.col("of")), kind).drop("of"))
+    for _ in range(epochs if n else 0):
+        sent = state.select("seed", F.col("term").alias("src"), "rank").join(shares, "src").groupBy("seed", F.col("dst").alias("at")).agg(F.sum(F.col("rank") * F.col("share")).alias("got")).withColumnRenamed("seed", "of")
         leak = state.where("sink").groupBy("seed").agg(F.sum("rank").alias("leak"))
-        met = state.alias("s").join(sent.alias("g"), (F.col("s.term") == F.col("g.term")) & F.col("s.seed").eqNullSafe(F.col("g.seed")), "left").join(F.broadcast(leak.alias("l")), F.col("s.seed").eqNullSafe(F.col("l.seed")), "left")
+        met = of_seed(state.join(sent, (F.col("term") == F.col("at")) & F.col("seed").eqNullSafe(F.col("of")), "left").drop("of", "at"), leak)
         raw = (1.0 - damping) / n + damping * F.coalesce("leak", F.lit(0.0)) / n + damping * F.coalesce("got", F.lit(0.0)) * F.col("factor")
-        fresh = met.select("s.*", raw.alias("raw"))
-        if scaled:
+        fresh = met.select("seed", "term", "sink", "scaled", "factor", "rank", "done", raw.alias("raw"))
+        if scales:
+            fresh = storage.cut(fresh)
             total = fresh.groupBy("seed").agg(F.sum("raw").alias("total"))
-            fresh = fresh.alias("f").join(F.broadcast(total.alias("t")), F.col("f.seed").eqNullSafe(F.col("t.seed"))).select("f.*", F.when(F.col("scaled"), F.col("f.raw") / F.col("total")).otherwise(F.col("f.raw")).alias("put")).drop("raw").withColumnRenamed("put", "raw")
+            fresh = of_seed(fresh, total).withColumn("raw", F.when(F.col("scaled"), F.col("raw") / F.col("total")).otherwise(F.col("raw")))
+        moved = F.when(F.col("done"), F.col("rank")).otherwise(F.col("raw"))
+        fresh = storage.cut(fresh.select("seed", "term", "sink", "scaled", "factor", moved.alias("rank"), "done", F.abs(moved - F.col("rank")).alias("change")))
         if epsilon <= 0:
-            state = fresh.select("seed", "term", "sink", "scaled", "factor", F.col("raw").alias("rank"), "done")
-            state = storage.cut(state)
+            state = fresh.drop("change")
             continue
-        fresh = fresh.select("seed", "term", "sink", "scaled", "factor", F.when(F.col("done"), F.col("rank")).otherwise(F.col("raw")).alias("rank"), "done", F.abs(F.col("raw") - F.col("rank")).alias("change"))
-        fresh = storage.cut(fresh)
-        moved = fresh.groupBy("seed").agg((F.sum("change") < epsilon).alias("still"))
-        state = fresh.alias("f").join(F.broadcast(moved.alias("m")), F.col("f.seed").eqNullSafe(F.col("m.seed"))).select("f.seed", "term", "sink", "scaled", "factor", "rank", (F.col("done") | F.col("still")).alias("done"))
-        if moved.where(~F.col("still")).isEmpty() or state.where(~F.col("done")).isEmpty():
+        still = storage.cut(fresh.groupBy("seed").agg((F.sum("change") < epsilon).alias("still")))
+        state = of_seed(fresh, still).select("seed", "term", "sink", "scaled", "factor", "rank", (F.col("done") | F.col("still")).alias("done"))
+        if still.where(~F.col("still")).isEmpty():
             break
     return state.select("seed", "term", "rank")
 
@@ -118,6 +127,15 @@ def metric(graph: Graph, name: str, seed: str | list[str] | None = None, bias: f
 
 
 def all_seeds(graph: Graph, seeds: DataFrame | None = None, bias: float = BIAS, epsilon: float = EPSILON, epochs: int = EPOCHS) -> DataFrame:
-    """Biased PageRank from each of some seeds (term), all nodes if none are given."""
-    names = [r["term"] for r in (graph.nodes if seeds is None else seeds).select("term").distinct().collect()]
-    return batch_pagerank(graph, {t: {t: bias} for t in names}, DAMPING, epsilon, epochs)
+    """Biased PageRank from each of some seeds (term), all nodes if none are given: (seed, term, rank).
+
+    Only for a graph and seeds of a checked small size do the seeds' names leave their
+    table.
+    """
+    wanted = (graph.nodes if seeds is None else graph.contains(seeds.select("term"))).select(F.col("term").alias("seed")).distinct()
+    n, k = graph.nodes.count(), wanted.count()
+    if n * k <= SMALL and graph.arcs.count() <= SMALL:
+        return batch_pagerank(graph, {r["seed"]: {r["seed"]: bias} for r in wanted.collect()}, DAMPING, epsilon, epochs)
+    wanted = storage.cut(wanted)
+    biased = wanted.select("seed", F.col("seed").alias("term"), F.lit(float(bias)).alias("bias"))
+    return _by_exchange(graph, n, wanted.withColumn("scaled", F.lit(True)), biased, DAMPING, epsilon, epochs)

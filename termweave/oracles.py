@@ -9,6 +9,21 @@ ROUNDS = 10
 #: Queries that start from one node take the first by name of so many of greatest degree.
 SEED_RANK = 3
 GLOSSARY = "=:apple:= A goat explores. xyz apple crater. Explore apple explore.=:goat:= nothing here.=:explore:= The crater sphere\nterm.=:crater sphere:= nothing."
+#: Word forms and stems from the published description of the algorithm.
+STEMS = {
+    "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist", "consisted": "consist",
+    "consistency": "consist", "consistent": "consist", "consistently": "consist", "consisting": "consist", "consists": "consist", "consolation": "consol",
+    "consolations": "consol", "consolatory": "consolatori", "console": "consol", "consoled": "consol", "consoles": "consol", "consolidate": "consolid",
+    "consolidated": "consolid", "consolidating": "consolid", "consoling": "consol", "consolingly": "consol", "consols": "consol", "consonant": "conson",
+    "consort": "consort", "consorted": "consort", "consorting": "consort", "conspicuous": "conspicu", "conspicuously": "conspicu", "conspiracy": "conspiraci",
+    "conspirator": "conspir", "conspirators": "conspir", "conspire": "conspir", "conspired": "conspir", "conspiring": "conspir", "constable": "constabl",
+    "constables": "constabl", "constance": "constanc", "constancy": "constanc", "constant": "constant", "knack": "knack", "knackeries": "knackeri",
+    "knacks": "knack", "knag": "knag", "knave": "knave", "knaves": "knave", "knavish": "knavish", "kneaded": "knead", "kneading": "knead", "knee": "knee",
+    "kneel": "kneel", "kneeled": "kneel", "kneeling": "kneel", "kneels": "kneel", "knees": "knee", "knell": "knell", "knelt": "knelt", "knew": "knew",
+    "knick": "knick", "knif": "knif", "knife": "knife", "knight": "knight", "knightly": "knight", "knights": "knight", "knit": "knit", "knits": "knit",
+    "knitted": "knit", "knitting": "knit", "knives": "knive", "knob": "knob", "knobs": "knob", "knock": "knock", "knocked": "knock", "knocker": "knocker",
+    "knockers": "knocker", "knocking": "knock", "knocks": "knock", "knopp": "knopp", "knot": "knot", "knots": "knot",
+}
 WORD = r"[\p{L}\p{N}_.<=]+"
 _stop = ", ".join(f"'{s}'" for s in STOP)
 
@@ -79,16 +94,25 @@ ecc AS MATERIALIZED (SELECT src AS term, max(dist) AS ecc FROM dists GROUP BY 1)
 """
 
 
-def rounds(bias: bool) -> str:
-    """PageRank rounds, one CTE each."""
-    raw = "0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce((SELECT 0.0), 0) + 0.85 * coalesce(got, 0)" + (" * CASE WHEN n.term = (SELECT term FROM seed) THEN 1.5 ELSE 1.0 END" if bias else "")
-    out = ["pr0 AS (SELECT term, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+def rounds(factor: str = "", partition: str = "") -> str:
+    """PageRank rounds, one CTE each; ``factor`` is the bias of n.term, ``partition`` the column of seeds."""
+    seeds = "(SELECT term AS seed FROM nodes)" if partition else "(SELECT 0 AS seed)"
+    out = [f"pr0 AS (SELECT seed, term, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes, {seeds})"]
+    raw = "0.15 / (SELECT count(*) FROM nodes) + 0.85 * coalesce(got, 0)" + (f" * {factor}" if factor else "")
     for k in range(1, ROUNDS + 1):
-        step = f"SELECT n.term, {raw} AS rank FROM nodes n LEFT JOIN (SELECT a.dst AS term, sum(p.rank / d.degree) AS got FROM arcs a JOIN pr{k - 1} p ON p.term = a.src JOIN deg d ON d.term = a.src GROUP BY 1) g USING (term)"
-        out.append(f"pr{k} AS MATERIALIZED (" + (f"SELECT term, rank / sum(rank) OVER () AS rank FROM ({step})" if bias else step) + ")")
+        step = f"SELECT n.seed, n.term, {raw} AS rank FROM pr0 n LEFT JOIN (SELECT p.seed, a.dst AS term, sum(p.rank / d.degree) AS got FROM arcs a JOIN pr{k - 1} p ON p.term = a.src JOIN deg d ON d.term = a.src GROUP BY 1, 2) g ON g.seed = n.seed AND g.term = n.term"
+        out.append(f"pr{k} AS MATERIALIZED (" + (f"SELECT seed, term, rank / sum(rank) OVER (PARTITION BY seed) AS rank FROM ({step})" if factor else step) + ")")
     return ",\n".join(out)
 
 
+def biased(bias: float, *terms: str) -> str:
+    """The factor of the nodes that a bias is on."""
+    return f"CASE WHEN n.term IN ({', '.join(terms)}) THEN {1 + bias} ELSE 1.0 END"
+
+
+SEED, OTHER = "(SELECT term FROM seed)", "(SELECT other FROM seed)"
+INVERSE = "SELECT term, round((2 * max(rank) OVER () - rank) / (2 * max(rank) OVER () * count(*) OVER () - sum(rank) OVER ()), 6) AS value FROM {pr}"
+HOOD = "hood AS (SELECT term, 0 AS dist FROM seed UNION SELECT a.dst, h.dist + 1 FROM hood h JOIN arcs a ON a.src = h.term JOIN cc u ON u.term = a.src JOIN cc v ON v.term = a.dst WHERE h.dist + 1 <= 1 OR (h.dist + 1 <= 3 AND v.cc * 0.5 >= u.cc))"
 MASK = """
 focus AS MATERIALIZED (
   SELECT term, (r / sum(r) OVER ()) AS rank FROM (SELECT term, 1.0 / (SELECT count(*) FROM nodes) + value AS r FROM scc)),
@@ -144,6 +168,15 @@ gloss AS MATERIALIZED (SELECT doc_id, trim(string_split(entry, ':=')[1]) AS head
 _gloss_vocab = "vocab AS MATERIALIZED (SELECT DISTINCT head AS term, len(string_split(head, ' ')) AS n FROM gloss), next_low AS (SELECT *, lead(token) OVER w AS token2, lead(surface) OVER w AS surface2 FROM low WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY pos))"
 _conv = "turns AS MATERIALIZED (SELECT conv_id AS doc_id, turn AS sent_ix, unnest(range(len(w))) AS pos, lower(unnest(w)) AS token, unnest(w) AS surface FROM (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}_.<=]+') AS w FROM conversations)), next_turn AS (SELECT *, lead(token) OVER w AS token2, lead(surface) OVER w AS surface2 FROM turns WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY pos))"
 
+_bodies = r"""
+bodies AS MATERIALIZED (SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<h1>.*?</h1>', '', 'gs'), '<[^>]*>', ' ', 'g'), '\n', chr(10) || chr(10), 'g') AS text, list_distinct(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) AS links, regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<h1>.*?</h1>', '', 'gs'), '<[^>]*>', ' ', 'g') AS body FROM pages)
+"""
+_link_vocab = r"""
+named AS (SELECT lower(array_to_string(regexp_extract_all(link, '[\p{L}\p{N}_.<=]+'), ' ')) AS term FROM (SELECT body, unnest(links) AS link FROM bodies) WHERE link <> '' AND contains(body, link)),
+vocab AS MATERIALIZED (SELECT DISTINCT term, len(string_split(term, ' ')) AS n FROM named WHERE term NOT IN ('', '1')),
+next_low AS (SELECT *, lead(token) OVER w AS token2, lead(surface) OVER w AS surface2 FROM low WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY pos))
+"""
+
 ORACLE_SQL = {
     "sentence_split": query("SELECT doc_id, sent_ix, array_to_string(words, ' ') AS words FROM sents"),
     "sentence_stats": query("SELECT doc_id, count(*) AS sentences, CAST(sum(len(words)) AS BIGINT) AS words, count(*) FILTER (len(words) = 0) AS empty FROM sents GROUP BY 1"),
@@ -171,13 +204,13 @@ SELECT DISTINCT lower(array_to_string(regexp_extract_all(link, '[\p{L}\p{N}_.<=]
     "clustering_coefficient": query("SELECT term, round(cc, 6) AS cc FROM cc", *_graph, CC),
     "clustering_coefficient_directed": query("SELECT n.term, round(CASE WHEN coalesce(k, 0) > 1 THEN coalesce(c, 0) / (k * (k - 1.0)) ELSE 0.0 END, 6) AS cc FROM nodes n LEFT JOIN (SELECT src AS term, count(*) AS k FROM d GROUP BY 1) USING (term) LEFT JOIN (SELECT a.src AS term, count(*) AS c FROM d a JOIN d b ON a.src = b.src JOIN d t ON t.src = a.dst AND t.dst = b.dst GROUP BY 1) USING (term)", *_graph, "d AS MATERIALIZED (SELECT src, dst FROM arcs WHERE src < dst)"),
     "neighbourhood_1": query("SELECT term, CAST(0 AS BIGINT) AS dist FROM seed UNION ALL SELECT dst, 1 FROM arcs WHERE src = (SELECT term FROM seed)", *_graph),
-    "neighbourhood_expanded": query("SELECT term, CAST(min(dist) AS BIGINT) AS dist FROM hood GROUP BY 1", *_graph, CC, "hood AS (SELECT term, 0 AS dist FROM seed UNION SELECT a.dst, h.dist + 1 FROM hood h JOIN arcs a ON a.src = h.term JOIN cc u ON u.term = a.src JOIN cc v ON v.term = a.dst WHERE h.dist + 1 <= 1 OR (h.dist + 1 <= 3 AND v.cc * 0.5 >= u.cc))"),
+    "neighbourhood_expanded": query("SELECT term, CAST(min(dist) AS BIGINT) AS dist FROM hood GROUP BY 1", *_graph, CC, HOOD),
     "distances": query("SELECT a.term AS src, b.term AS dst, CAST(d.dist AS DOUBLE) AS dist FROM nodes a CROSS JOIN nodes b LEFT JOIN dists d ON d.src = a.term AND d.dst = b.term", *_graph, REACH),
     "eccentricity": query("SELECT term, CAST(ecc AS BIGINT) AS ecc FROM ecc", *_graph, REACH),
     "diameter": query("SELECT CAST(max(ecc) AS BIGINT) AS diameter FROM ecc", *_graph, REACH),
-    "pagerank_k": query(f"SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}", *_graph, rounds(False)),
-    "biased_pagerank_k": query(f"SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}", *_graph, rounds(True)),
-    "inverse_pagerank_k": query(f"SELECT term, round((2 * max(rank) OVER () - rank) / (2 * max(rank) OVER () * count(*) OVER () - sum(rank) OVER ()), 6) AS value FROM pr{ROUNDS}", *_graph, rounds(False)),
+    "pagerank_k": query(f"SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}", *_graph, rounds()),
+    "biased_pagerank_k": query(f"SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}", *_graph, rounds(biased(0.5, SEED))),
+    "inverse_pagerank_k": query(INVERSE.format(pr=f"pr{ROUNDS}"), *_graph, rounds()),
     "scaled_cc": query("SELECT term, round(value, 6) AS value FROM scc", *_graph, CC),
     "inverse_cc": query("SELECT term, round((2 * max(value) OVER () - value) / (2 * max(value) OVER () * count(*) OVER () - sum(value) OVER ()), 6) AS value FROM scc", *_graph, CC),
     "fitted_cc": query("SELECT term, round(value * 0.5 / max(value) OVER (), 6) AS value FROM scc", *_graph, CC),
@@ -191,7 +224,24 @@ SELECT DISTINCT lower(array_to_string(regexp_extract_all(link, '[\p{L}\p{N}_.<=]
     "compare_union": query("SELECT src, dst FROM (SELECT * FROM arcs_l UNION SELECT * FROM arcs_r) WHERE src < dst", *_sides),
     "compare_groups": query("SELECT term, string_agg(g, ',' ORDER BY g) AS groups FROM (SELECT DISTINCT src AS term, 'left' AS g FROM arcs_l UNION ALL SELECT DISTINCT src, 'right' FROM arcs_r) GROUP BY 1", *_sides),
     "compare_properties": query("SELECT least(coalesce(a.lo, 0), coalesce(b.lo, 0)) AS min_cnt, greatest(coalesce(a.hi, 0), coalesce(b.hi, 0)) AS max_cnt, CASE WHEN x.cutoff = y.cutoff THEN x.cutoff END AS cutoff, (SELECT count(DISTINCT src) FROM (SELECT src FROM arcs_l UNION SELECT src FROM arcs_r)) AS total_terms, round((coalesce(a.m, 0) + coalesce(b.m, 0)) / 2, 6) AS avg_cnt FROM (SELECT min(cnt) AS lo, max(cnt) AS hi, avg(cnt) AS m FROM counted_l) a, (SELECT min(cnt) AS lo, max(cnt) AS hi, avg(cnt) AS m FROM counted_r) b, cut_l x, cut_r y", *_sides),
+    "stem_samples": "SELECT word, stem FROM (VALUES " + ", ".join(f"('{w}', '{t}')" for w, t in STEMS.items()) + ") AS v(word, stem)",
+    "lemma_counts": query("SELECT term, CAST(sum(cnt) AS BIGINT) AS cnt FROM infl GROUP BY 1", *_found, _infl),
+    "merged_inflections": query("SELECT term, surface, cnt + CASE WHEN surface = term THEN 1 ELSE 0 END AS cnt FROM infl", *_found, _infl),
+    "decoded_names": query("SELECT DISTINCT name, coalesce(e.term, l.term) AS term FROM (SELECT surface AS name FROM infl UNION SELECT upper(surface) FROM infl) LEFT JOIN infl e ON e.surface = name LEFT JOIN infl l ON l.surface = lower(name)", *_found, _infl),
+    "built_glossary": query("SELECT DISTINCT least(g.head, f.term) AS src, greatest(g.head, f.term) AS dst FROM found f JOIN gloss g USING (doc_id) WHERE f.term <> g.head", SPLIT.format(text="text", source="gloss"), LOWERED, _gloss_vocab, MATCH.format(low="next_low"), source=_glossary),
+    "built_articles": query("SELECT src, dst, cnt FROM counted", SPLIT.format(text="text", source="bodies"), LOWERED, _link_vocab, MATCH.format(low="next_low"), PAIRS.format(found="found"), source=_bodies),
+    "biased_metric": query(f"SELECT term, round(rank, 6) AS value FROM pr{ROUNDS}", *_graph, rounds(biased(0.1, SEED, OTHER))),
+    "inverse_biased_metric": query(INVERSE.format(pr=f"pr{ROUNDS}"), *_graph, rounds(biased(0.1, SEED))),
+    "all_seed_pagerank": query(f"SELECT seed, term, round(rank, 6) AS rank FROM pr{ROUNDS}", *_graph, rounds(biased(0.1, "n.seed"), "seed")),
+    "log_size": query("SELECT round(log10(count(*) + 1), 6) AS log_size FROM nodes", *_graph),
+    "session_search": query("SELECT m.term AS name, round(m.rank, 6) AS rank, CASE WHEN row_number() OVER (ORDER BY round(m.rank, 9) DESC, m.term) <= 10 THEN 1.0 ELSE 0.1 END AS alpha FROM masked m WHERE m.term IN (SELECT term FROM hood)", *_mask, HOOD),
+    "session_highlight": query("SELECT term AS name, CASE WHEN selected THEN 1.0 WHEN term IN (SELECT dst FROM arcs WHERE src = (SELECT term FROM lit)) THEN 0.55 ELSE 0.1 END AS alpha FROM shown WHERE selected OR term <> (SELECT term FROM mid)", *_mask,
+        "mid AS (SELECT term FROM (SELECT term FROM deg ORDER BY degree DESC, term LIMIT 3) WHERE term NOT IN (SELECT term FROM seed UNION ALL SELECT other FROM seed))", "lit AS (SELECT min(term) AS term FROM nodes)",
+        "best AS (SELECT term FROM masked WHERE term <> (SELECT term FROM mid) ORDER BY round(rank, 9) DESC, term LIMIT 10)", "shown AS (SELECT term, term IN (SELECT term FROM best) OR term = (SELECT term FROM lit) AS selected FROM masked)"),
+    "session_totals": query("SELECT md5(coalesce((SELECT string_agg(sentence, '|||' ORDER BY sentence) FROM texts t WHERE (t.src = b.src AND t.dst = b.dst) OR (t.src = b.dst AND t.dst = b.src)), '')) AS summary, (SELECT count(*) FROM nodes) AS size, (SELECT count(*) FROM tops) AS selection FROM (SELECT l.src, l.dst FROM lc l JOIN masked a ON a.term = l.src JOIN masked c ON c.term = l.dst WHERE l.src IN (SELECT term FROM tops) AND l.dst IN (SELECT term FROM tops) ORDER BY round(a.rank + c.rank, 9) DESC, l.src, l.dst LIMIT 1) b", *_mask, SENT),
+    "session_chart": query("SELECT term AS name, round(rank, 6) AS rank FROM masked ORDER BY round(rank, 9) DESC, term LIMIT 35", *_mask),
+    "session_radii": query("SELECT term AS name, round(least(greatest(rank * 1000.0, 5.0), 50.0), 6) AS radius FROM masked", *_mask),
     "basket_cooc_part_type": _basket + " SELECT src, dst, cnt FROM counted",
-    "basket_pagerank": _basket + ", " + KEPT.strip() + "," + GRAPH.strip() + "," + rounds(False) + f" SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}",
+    "basket_pagerank": _basket + ", " + KEPT.strip() + "," + GRAPH.strip() + "," + rounds() + f" SELECT term, round(rank, 6) AS rank FROM pr{ROUNDS}",
     "conversation_cooc": query("SELECT src, dst, cnt FROM counted", LOWERED, VOCAB, _conv, MATCH.format(low="next_turn"), PAIRS.format(found="found")),
 }

@@ -17,6 +17,8 @@ from termweave.plans.network import Network, compare
 #: Fixed values of the display: terms shown per group, radius in pixels, opacities, bars of the chart.
 TOP, RADIUS, DARK, LIGHT, BARS = 10, 280.0, 1.0, 0.1, 35
 MEDIUM = (DARK + LIGHT) / 2.0
+#: Least and greatest radius of a node.
+LEAST_RADIUS, MOST_RADIUS = 5.0, 50.0
 SEARCH = (1, (2, 0.5))
 
 
@@ -240,7 +242,14 @@ class Session:
         masked = self.masked(self.selection())
         own = F.sum("rank") if part == "whole" else F.sum(F.when(F.col("grp") == part, F.col("rank")).otherwise(0.0))
         rows = masked.groupBy("term").agg(own.alias("rank"), F.sum("rank").alias("whole")).join(self.network.names(), "term", "left")
-        return rows.select(F.coalesce("name", "term").alias("name"), "rank", "whole").orderBy(F.desc("rank"), F.desc("whole"), "name").limit(bars).select("name", "rank")
+        return rows.select(F.coalesce("name", "term").alias("name"), "rank", "whole").orderBy(F.desc(F.round("rank", 9)), F.desc(F.round("whole", 9)), "name").limit(bars).select("name", "rank")
+
+    def radii(self, size: float, part: str = "whole") -> DataFrame:
+        """(name, radius): a node's rank, of all groups or one, times ``size``, within bounds."""
+        rows = self.masked(self.selection())
+        own = F.sum("rank") if part == "whole" else F.sum(F.when(F.col("grp") == part, F.col("rank")).otherwise(0.0))
+        ranked = rows.groupBy("term").agg(own.alias("rank")).join(self.network.names(), "term", "left")
+        return ranked.select(F.coalesce("name", "term").alias("name"), F.least(F.greatest(F.col("rank") * size, F.lit(LEAST_RADIUS)), F.lit(MOST_RADIUS)).alias("radius"))
 
     def properties(self) -> DataFrame:
         return self.network.properties()

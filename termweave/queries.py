@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from termweave import storage
 from termweave.functions import ranks as R
 from termweave.functions import text
-from termweave.oracles import CUT_KEEP, GLOSSARY, ROUNDS, SEED_RANK, STOP
+from termweave.oracles import CUT_KEEP, GLOSSARY, ROUNDS, SEED_RANK, STEMS, STOP
 from termweave.operators import cooc, graph, match, vocab
 from termweave.operators import pagerank as P
+from termweave.plans import build
 from termweave.plans import network as N
 from termweave.plans.session import Session
 from termweave.sources import readers
@@ -128,6 +129,44 @@ def stem_counts(spark, folder):
     return words.select(F.element_at(lemmas(F.array("w"), "stem"), 1).alias("stem"), "c").groupBy("stem").agg(F.sum("c").alias("cnt"))
 
 
+def stem_samples(spark, folder):
+    """Published word forms of the stemming algorithm, through the distributed form."""
+    words = spark.createDataFrame([(w,) for w in STEMS], "word string")
+    from termweave.functions.stem import lemmas
+
+    return words.select("word", F.element_at(lemmas(F.array("word"), "stem"), 1).alias("stem"))
+
+
+def lemma_counts(spark, folder):
+    return match.lemma_counts(inflection_counts(spark, folder))
+
+
+def merged_inflections(spark, folder):
+    return compared_of(spark, folder).inflections.select("term", "surface", "cnt")
+
+
+def decoded_names(spark, folder):
+    """Each surface form in capitals and as it is, brought back to its term."""
+    words = words_of(spark, folder).drop("df")
+    counted = storage.cut(match.inflections(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"), words))
+    names = counted.select("surface").distinct()
+    every = names.union(names.select(F.upper("surface"))).distinct().withColumnRenamed("surface", "name")
+    return match.decode(every, counted).select("name", "term")
+
+
+def built_glossary(spark, folder):
+    return build.build(spark, GLOSSARY, "gc", keep=100, how="lower").display.links()
+
+
+def built_articles(spark, folder):
+    """Counts of pairs over all pages as articles, whose links are the vocabulary."""
+    pages = storage.table(spark, folder, "pages")
+    title = F.col("page_id").cast("string").alias("title")
+    fetch = build.table_fetcher(readers.page_text(pages).select(title, F.lit(None).cast("string").alias("section"), F.lit(0).alias("ord"), "text"), readers.page_links(pages).select(title, "link"))
+    listing = pages.select(F.col("page_id").alias("ord"), F.col("page_id").cast("string").alias("line"))
+    return cooc.counts(build.parse_input(spark, listing, "wal", fetch=fetch, how="lower").pairs)
+
+
 def graph_edges(spark, folder):
     return graph_of(spark, folder).links()
 
@@ -211,6 +250,29 @@ def fitted_cc(spark, folder):
     return R.fit(P.metric(graph_of(spark, folder), "CC"), "value", 0.5).select("term", F.round("value", 6).alias("value"))
 
 
+def other_of(g: graph.Graph) -> str:
+    """The last by name of the nodes that :func:`seed_of` takes the first of."""
+    return top_nodes(g, SEED_RANK).orderBy(F.desc("term")).first()["term"]
+
+
+def biased_metric(spark, folder):
+    g = graph_of(spark, folder)
+    return P.metric(g, "BPR", [seed_of(g), other_of(g)], epsilon=0, epochs=ROUNDS).select("term", F.round("value", 6).alias("value"))
+
+
+def inverse_biased_metric(spark, folder):
+    g = graph_of(spark, folder)
+    return P.metric(g, "IBPR", seed_of(g), epsilon=0, epochs=ROUNDS).select("term", F.round("value", 6).alias("value"))
+
+
+def all_seed_pagerank(spark, folder):
+    return P.all_seeds(graph_of(spark, folder), epsilon=0, epochs=ROUNDS).select("seed", "term", F.round("rank", 6).alias("rank"))
+
+
+def log_size(spark, folder):
+    return graph.log_size(graph_of(spark, folder)).select(F.round("log_size", 6).alias("log_size"))
+
+
 def network_of(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> N.Network:
     words = words_of(spark, folder).drop("df")
     return N.build(N.parse_content(docs_of(spark, folder) if docs is None else docs, words, how="lower"), CUT_KEEP)
@@ -244,6 +306,32 @@ def display_nodes(spark, folder):
     return s.display().nodes.select("name", F.round(F.try_element_at("ranks", F.lit("left")), 6).alias("rank"), "alpha", F.array_join("groups", ",").alias("groups"))
 
 
+def session_search(spark, folder):
+    s = session_of(spark, folder)
+    shown = s.search(seed_of(s.network.display))[1]
+    return shown.nodes.select("name", F.round(F.try_element_at("ranks", F.lit("left")), 6).alias("rank"), "alpha")
+
+
+def session_highlight(spark, folder):
+    """One node highlighted, one of greatest degree ignored."""
+    s = session_of(spark, folder)
+    middle = top_nodes(s.network.display, SEED_RANK).orderBy("term").collect()[1]["term"]
+    first = s.network.display.nodes.agg(F.min("term")).first()[0]
+    return s.highlight(first).ignore(middle).display().nodes.select("name", "alpha")
+
+
+def session_totals(spark, folder):
+    return session_of(spark, folder).display().totals.select(F.md5("summary").alias("summary"), "size", "selection")
+
+
+def session_chart(spark, folder):
+    return session_of(spark, folder).chart().select("name", F.round("rank", 6).alias("rank"))
+
+
+def session_radii(spark, folder):
+    return session_of(spark, folder).radii(1_000.0).select("name", F.round("radius", 6).alias("radius"))
+
+
 def display_links(spark, folder):
     return session_of(spark, folder).display().links.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "alpha", F.round("distance", 6).alias("distance"), "stroke")
 
@@ -318,4 +406,8 @@ QUERIES = {
     "masked_rank": masked_rank, "top_k_per_group": top_k_per_group, "display_nodes": display_nodes, "display_links": display_links,
     "link_distance": link_distance, "best_link_summary": best_link_summary, "compare_union": compare_union, "compare_groups": compare_groups,
     "compare_properties": compare_properties, "basket_cooc_part_type": basket_cooc_part_type, "basket_pagerank": basket_pagerank, "conversation_cooc": conversation_cooc,
+    "stem_samples": stem_samples, "lemma_counts": lemma_counts, "merged_inflections": merged_inflections, "decoded_names": decoded_names,
+    "built_glossary": built_glossary, "built_articles": built_articles, "biased_metric": biased_metric, "inverse_biased_metric": inverse_biased_metric,
+    "all_seed_pagerank": all_seed_pagerank, "log_size": log_size, "session_search": session_search, "session_highlight": session_highlight,
+    "session_totals": session_totals, "session_chart": session_chart, "session_radii": session_radii,
 }

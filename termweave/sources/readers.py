@@ -44,10 +44,16 @@ def glossary(markup: DataFrame, column: str = "text") -> DataFrame:
 
 
 def article_titles(listing: DataFrame, column: str = "line") -> DataFrame:
-    """(page_id, title, sections) of titles separated by "."; ``Title#A#B`` selects sections."""
-    pages = listing.select(F.explode(F.transform(F.split(F.col(column), r"\."), text.strip)).alias("page_id")).where("page_id <> ''")
+    """(page_id, title, sections, ord) of titles separated by "."; ``Title#A#B`` selects sections.
+
+    ``ord`` is the place among the titles of a line and, if the listing has an ``ord``,
+    of that line before. A repeated entry counts once, at its first place.
+    """
+    line = F.col("ord").cast("bigint") if "ord" in listing.columns else F.lit(0).cast("bigint")
+    pages = listing.select(line.alias("line_ord"), F.posexplode(F.transform(F.split(F.col(column), r"\."), text.strip)).alias("at", "page_id")).where("page_id <> ''")
+    first = pages.groupBy("page_id").agg(F.min(F.col("line_ord") * (1 << 20) + F.col("at")).alias("ord"))
     parts = F.split("page_id", "#")
-    return pages.select("page_id", F.element_at(parts, 1).alias("title"), F.slice(parts, F.lit(2), F.size(parts)).alias("sections"))
+    return first.select("page_id", F.element_at(parts, 1).alias("title"), F.slice(parts, F.lit(2), F.size(parts)).alias("sections"), "ord")
 
 
 def articles(titles: DataFrame, sections: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def articles(titles: DataFrame, sections: DataFrame) -> DataFrame:
     missing = titles.join(sections.select("title").distinct(), "title", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"missing article {missing[0]['title']!r}")
-    met = titles.join(sections, "title")
+    met = titles.select("page_id", "title", "sections").join(sections, "title")
     whole = (F.size("sections") == 0) & (F.col("section").isNull() | ~F.col("section").isin(*SECTIONS_LEFT_OUT))
     chosen = (F.size("sections") > 0) & F.array_contains("sections", F.col("section")) & ~F.col("section").isin(*SECTIONS_LEFT_OUT)
     place = F.when(F.size("sections") > 0, F.array_position("sections", F.col("section")).cast("int")).otherwise(F.col("ord").cast("int"))
@@ -88,7 +94,7 @@ def check_form(data: dict[str, list[str]]) -> dict[str, str]:
     for name in needed:
         value = (data.get(name) or [""])[0]
         if not value.strip():
-            raise ValueError(f"Submission invalid - missing '{name}'.")
+            raise ValueError(f"the form has no {name}")
         out[name] = value.strip()
     return out
 
@@ -98,7 +104,7 @@ def format_of(name: str | tuple[str, ...]) -> str:
     for each in (name,) if isinstance(name, str) else name:
         if each in FORMATS:
             return FORMATS[each]
-    raise ValueError(f"Unknown input format '{name}'.")
+    raise ValueError(f"no reader for the format {name!r}")
 
 
 def focus_terms(value: str) -> list[str]:

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from termweave.functions import text
+from termweave.operators import cooc, match
 
 
 def stream_pairs(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Ordered pairs of different single-word terms of each sentence: (src, dst), without state.
+    """Ordered pairs of different terms of each sentence of (doc_id, text): (src, dst), without state.
 
-    Each sentence is judged alone inside its row, so only the counting needs state.
+    Terms are lower-case, of any number of words; the longest that begins at a word is
+    taken, as in a batch. Each sentence is judged alone inside its row, so only the
+    counting needs state.
     """
-    found = F.transform(text.sentences(F.col("text")), lambda s: F.array_intersect(text.lower(s), F.array(*map(F.lit, terms))))
-    both = lambda t: F.flatten(F.transform(t, lambda a: F.transform(F.filter(t, lambda b: b != a), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    return docs.select(F.explode(found).alias("t")).select(F.inline(both(F.col("t"))))
+    rows = [(t.split(" "), t, len(t.split(" "))) for t in dict.fromkeys(terms)]
+    words = docs.sparkSession.createDataFrame(rows, "path array<string>, term string, n int")
+    hits = match.in_windows(cooc.windows(docs, 1), words, "lower")
+    return cooc.window_pairs(hits).select("src", "dst")
 
 
 def stream_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
