@@ -1,5 +1,6 @@
 """Each operator on null, empty, long and repeated rows, clashing columns and empty tables, and against plain code."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -305,10 +306,54 @@ def test_warc(spark, tmp_path):
         h = (dict(pages)[r["page_id"]] or "").encode()
         revisit = h == body.encode() and r["page_id"] != 2
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(h), hashlib.sha256(h).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None)
+    read = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
+    assert read.count(b"WARC-Record-ID: ") == len(pages) and read.count(b"same payload " * 10) == 1 + 1
     warc.write_archives(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
-    with pytest.raises(ValueError):
-        list(warc.records(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nab"))
+
+
+def plain_record(page, body):
+    return f"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: {page}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", [warc.GZIP, warc.PLAIN])
+@pytest.mark.parametrize("size", ["700b", "3k", "128m"])
+def test_warc_in_ranges(spark, tmp_path, form, size):
+    """Chains go through ranges of any size; magics, headers and whole records in payloads give nothing."""
+    r = random.Random(7)
+
+    def member(record):
+        """A member without compression, so that its payload's bytes lie open."""
+        packer = zlib.compressobj(0, wbits=-15)
+        body = packer.compress(record) + packer.flush()
+        head = warc.MEMBER.pack(b"\x1f\x8b\x08", 4, 0, 0, 255, 12, b"s", b"l", 8, warc.MEMBER.size + len(body) + 8, len(record))
+        return head + body + zlib.crc32(record).to_bytes(4, "little") + len(record).to_bytes(4, "little")
+
+    inner = plain_record(-1, b"inside")
+    bait = [b"", b"short", form.magic * 9, inner * 3, member(inner) * 3, member(b""), form.magic + b"\x04" + b"\0" * 40, b"WARC/1.0\r\nContent-Length: 99999999\r\n\r\n", member(inner)[:60], b"x" * 2_500 + member(inner) + b"y" * 2_500]
+    folder, expected = tmp_path / "w", {}
+    folder.mkdir()
+    for f in range(3):
+        out = []
+        for _ in range(40):
+            page = len(expected)
+            body = b"".join(r.choice(bait) for _ in range(r.randrange(4)))
+            expected[page] = (f"f{f}.warc", len(body), hashlib.sha256(body).hexdigest())
+            record = plain_record(page, body)
+            out.append(record if form is warc.PLAIN else r.choice([member, warc.member])(record) + (member(b"") if r.random() < 0.5 else b""))
+        whole = b"".join(out)
+        (folder / f"f{f}.warc").write_bytes(whole)
+        (folder / f"cut{f}.warc").write_bytes(whole[: len(whole) * 2 // 3])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        rows = warc.read_archives(spark, str(folder), form).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [(x["page_id"], (x["file"].rsplit("/", 1)[1], x["payload_bytes"], x["payload_digest"])) for x in rows if x["whole"]]
+    assert len(got) == len(expected) and dict(got) == expected
+    part = [(x["page_id"], x["payload_digest"]) for x in rows if not x["whole"]]
+    assert len(part) > 60 and all(expected[i][2] == d for i, d in part)
 
 
 # 7
