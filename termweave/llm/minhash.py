@@ -354,3 +354,20 @@ def label_all(signed: DataFrame, stands: DataFrame, labels: DataFrame) -> DataFr
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents on shingles of four words."""
     return near_duplicates(common.read(spark, sf_dir, "documents"), shingle_words=4)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE
+words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+arcs AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN arcs l ON l.a = r.to_id)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, r.least AS component_id, d.doc_id = r.least AS kept
+FROM documents d JOIN (SELECT doc_id, min(to_id) AS least FROM reach GROUP BY 1) r USING (doc_id) LEFT JOIN sizes z USING (doc_id)
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from termweave.llm.bpe import op3_bpe
 from termweave.llm.langid import op10_language_id
 from termweave.llm.media import op4_media
-from termweave.llm.minhash import op2_minhash
+from termweave.llm.minhash import OP2_SQL, op2_minhash
 from termweave.llm.mixing import op7_mixing
-from termweave.llm.repeats import op9_repeats
+from termweave.llm.repeats import OP9_SQL, op9_repeats
 from termweave.llm.syncmer import op8_syncmers
 from termweave.llm.toxicity import op5_toxicity
 from termweave.llm.url_filter import OP1_SQL, op1_url_filters
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_warc": OP6_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op9_repeats": OP9_SQL}

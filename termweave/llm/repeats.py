@@ -610,3 +610,20 @@ def _without_repeats(source: DataFrame, digest: bool, crowd: int) -> DataFrame:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove every string of 100 bytes that also starts earlier from all documents."""
     return without_repeats(common.read(spark, sf_dir, "documents"), digest=True)
+
+
+OP9_SQL = """
+WITH bytes AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS i FROM bytes)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1),
+opened AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS opens FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM opened),
+spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+removed AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, coalesce(last, 0), n FROM bytes LEFT JOIN (SELECT doc_id, max(b) AS last FROM spans GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM gaps JOIN bytes USING (doc_id) WHERE y > x GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(k, ''))) AS kept_sha256
+FROM bytes LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
