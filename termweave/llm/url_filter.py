@@ -4,7 +4,8 @@ Only DataFrame functions run here. A rule is a regular expression over the
 canonical ``host + path`` string plus the literal tokens every match must contain.
 The index maps one token of each rule - the one that the fewest URLs of the table
 contain - to the rule. A URL's tokens fetch candidate rules from the index, and
-only these run their expressions, so the work per URL does not grow with the list.
+only these run their expressions, so the work per URL does not grow with the list. A
+short list is held in the plan; a long one is a table that tokens are joined with.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PATTERN_RULES = (
     ("*ads-track*", r"^(?:[^/]*[.-])?ads-track(?:[.-]|/|$)", ("ads", "track")),
     ("*casino*", r"^(?:[^/]*[.-])?casino(?:[.-]|/|$)", ("casino",)),
 )
-#: The rule list is held in the plan as a literal; beyond this many rules it is refused.
+#: A list of up to so many rules is held in the plan; beyond, it is a table.
 MOST_RULES = 20_000
 TOKEN = "[A-Za-z0-9]+"
 RULE_TYPE = T.StructType(
@@ -115,26 +116,10 @@ def url_filter(pages: DataFrame, rules: list[UrlRule], url: str = "url", default
     Rows are neither dropped nor merged, so repeated rows stay repeated; an empty
     table gives an empty one. Rules of one rank: the greater rule string wins.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are held in a plan")
     parts = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    tokens = F.array_distinct(F.regexp_extract_all(F.concat("host", "path"), F.lit(f"({TOKEN})"), 1))
-    none = F.array().cast(T.ArrayType(RULE_TYPE))
-    if rules:
-        index = rarest_tokens(parts.select(tokens.alias("tokens")), rules)
-        pairs = []
-        for token, own in sorted(index.items()):
-            pairs.append(F.lit(token))
-            pairs.append(F.array(*(F.struct(F.lit(r.rank).alias("rank"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for r in own)))
-        held = F.create_map(*pairs)
-        fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(held, t), none)))
-    else:
-        fetched = none
-    subject = F.concat("host", "path")
-    fitting = F.filter(fetched, lambda r: F.rlike(subject, r["pattern"]))
-    best = F.array_max(fitting)
-    sites = [r.rule for r in rules if r.site]
-    return parts.withColumn("_best", best).withColumns(
+    judged = by_join(parts, rules, url) if len(rules) > MOST_RULES else in_plan(parts, rules)
+    sites = any(r.site for r in rules)
+    return judged.withColumns(
         {
             "rule": F.when(F.col("_best.rank") >= 1_000, F.col("_best.rule")) if sites else F.lit(None).cast("string"),
             "method_rule": F.col("_best.rule"),
@@ -143,6 +128,53 @@ def url_filter(pages: DataFrame, rules: list[UrlRule], url: str = "url", default
     ).drop("_best")
 
 
+def tokens_of(subject: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(subject, F.lit(f"({TOKEN})"), 1))
+
+
+def best_of(fetched: Column, subject: Column) -> Column:
+    """Of the fetched rules that fit, the one of the highest rank."""
+    return F.array_max(F.filter(fetched, lambda r: F.rlike(subject, r["pattern"])))
+
+
+def in_plan(parts: DataFrame, rules: list[UrlRule]) -> DataFrame:
+    """Add the deciding rule as ``_best``, from an index held in the plan."""
+    subject, none = F.concat("host", "path"), F.array().cast(T.ArrayType(RULE_TYPE))
+    if not rules:
+        return parts.withColumn("_best", best_of(none, subject))
+    pairs = []
+    for token, own in sorted(rarest_tokens(parts.select(tokens_of(subject).alias("tokens")), rules).items()):
+        pairs.append(F.lit(token))
+        pairs.append(F.array(*(F.struct(F.lit(r.rank).alias("rank"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for r in own)))
+    held = F.create_map(*pairs)
+    fetched = F.flatten(F.transform(tokens_of(subject), lambda t: F.coalesce(F.try_element_at(held, t), none)))
+    return parts.withColumn("_best", best_of(fetched, subject))
+
+
+def by_join(parts: DataFrame, rules: list[UrlRule], url: str) -> DataFrame:
+    """The same from an index that is a table, for lists of any length.
+
+    Each different URL is judged once. Tokens and URLs that very many rows have are
+    joined where they are.
+    """
+    spark = parts.sparkSession
+    urls = common.materialize(parts.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("_url")).agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("_rows")), "urls")
+    subject = F.concat("host", "path")
+    each = urls.select("_url", subject.alias("subject"), F.explode(tokens_of(subject)).alias("token"))
+    listed = spark.createDataFrame([(k, r.rank, r.rule, r.verdict, r.pattern, list(r.tokens)) for k, r in enumerate(rules)], "id int, rank int, rule string, verdict string, pattern string, tokens array<string>")
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    known = listed.select("id", F.explode("tokens").alias("token")).join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = known.groupBy("id").agg(F.min(F.struct("n", (-F.char_length("token")).alias("short"), "token")).alias("by"))
+    index = listed.join(rarest, "id").groupBy(F.col("by.token").alias("token")).agg(F.first("by.n").alias("n"), F.collect_list(F.struct("rank", "rule", "verdict", "pattern")).alias("fetched")).where("n > 0")
+    index = common.materialize(index, "index")
+    met = common.join_hot(each, index, "token", "n", index.agg(F.sum("n")).first()[0] or 0)
+    found = met.withColumn("_best", best_of(F.col("fetched"), F.col("subject"))).groupBy("_url").agg(F.max("_best").alias("_best"))
+    judged = common.materialize(urls.join(found, "_url", "left").select("_url", "_rows", "_best"), "judged")
+    rows = common.join_hot(parts.withColumn("_url", F.col(url)), judged, "_url", "_rows", judged.agg(F.sum("_rows")).first()[0] or 0)
+    blank = parts.where(F.col(url).isNull()).withColumn("_best", F.lit(None).cast(RULE_TYPE))
+    return rows.select(*parts.columns, "_best").unionByName(blank)
+
+
 def deployed_rules() -> list[UrlRule]:
     """The rules that op1 applies."""
     return [site_rule(*r) for r in SITE_RULES] + [pattern_rule(*r) for r in PATTERN_RULES]

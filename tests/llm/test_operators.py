@@ -52,7 +52,11 @@ def table(df, key="doc_id"):
 # 1
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("most", [url_filter.MOST_RULES, 3])
+def test_url_filter(spark, monkeypatch, most):
+    """The list in the plan and the list as a table judge alike."""
+    monkeypatch.setattr(url_filter, "MOST_RULES", most)
+    monkeypatch.setattr(common, "LEAST_HOT", 4)
     urls = [
         (1, "HTTP://A.Example.ORG/en/12?x#y", "example.org/en/1", "block"), (2, "http://a.org", None, "allow"), (3, "http://a.org/x", "org/", "allow"),
         (4, None, None, "allow"), (5, "no scheme", None, "allow"), (6, "http://x.com/de/1", "com/de/", "block"), (7, "http://free-bets.net/a", None, "block"),
