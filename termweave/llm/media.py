@@ -26,7 +26,9 @@ WIDTH = 576
 TAIL = 32
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-STORED = f"doc_id bigint, n_bytes bigint, digest string, media binary, n_items int, refs array<{ITEM}>"
+#: A sequence without its texts: how long each text is, and digest and caption of each medium, in order.
+LAYOUT = "array<struct<position:int,kind:string,n_chars:int,digest:string,caption:string>>"
+STORED = f"doc_id bigint, n_bytes bigint, digest string, media binary, n_items int, sequence {LAYOUT}, refs array<{ITEM}>"
 READ_BACK = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "th", "article", "section", "figure", "figcaption", "br", "title"}
 
@@ -168,7 +170,7 @@ def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            sizes, digests, images, counts, refs = [], [], [], [], []
+            sizes, digests, images, counts, layouts, refs = [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 raw = (text or "").encode()
                 payload = pad(raw)
@@ -178,9 +180,11 @@ def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(digest)
                 images.append(png(payload))
                 counts.append(len(items))
+                layouts.append([{"position": x["position"], "kind": x["kind"], "n_chars": len(x["text"]) if x["text"] else None, "digest": x["digest"], "caption": x["caption"]} for x in items])
                 refs.append([x for x in items if x["kind"] == "media"])
             kinds = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(images, pa.binary()), pa.array(counts, pa.int32()), pa.array(refs, kinds)], ["doc_id", "n_bytes", "digest", "media", "n_items", "refs"])
+            laid = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("n_chars", pa.int32()), ("digest", pa.string()), ("caption", pa.string())]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(images, pa.binary()), pa.array(counts, pa.int32()), pa.array(layouts, laid), pa.array(refs, kinds)], ["doc_id", "n_bytes", "digest", "media", "n_items", "sequence", "refs"])
 
 
 def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +203,7 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_documents(docs: DataFrame) -> DataFrame:
     """Write the media table of all documents to the shared folder and return it.
 
+    ``sequence`` is the document's whole interleaved sequence, with lengths for texts.
     A null text counts as empty and is stored as one line of padding. Repeated rows
     are stored once for each row; equal texts have equal digests and equal media.
     """
@@ -233,4 +238,4 @@ def resolve(sequences: DataFrame, stored: DataFrame | None = None, items: str =
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document's bytes as media, read them back and describe them."""
     found = resolve(store_documents(common.read(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "sequence")

@@ -252,6 +252,13 @@ def test_media(spark, docs, rows, none):
         r = by[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert media.samples_of(media.png(payload)) == payload
+        lines = (t or "").split("\n")
+        texts = [("text", len(x.strip()), None, None) for x in lines if x.strip()]
+        whole = [(n, *x) for n, x in enumerate([*texts, ("media", None, r["payload_sha256"], f"{len(lines)} lines")])]
+        assert [tuple(x) for x in r["sequence"]] == whole and (r["position"], r["caption"], r["n_items"]) == (len(texts), f"{len(lines)} lines", len(whole))
+        values = np.frombuffer(payload, np.uint8).astype(float)
+        bits = "".join("01"[int(part.mean() > values.mean())] for part in np.split(values, 64))
+        assert r["feature"] == f"{int(bits, 2):016x}:{values.mean():.3f}:{values.std():.3f}"
     assert by[5]["feature"] == by[6]["feature"] and media.resolve(media.store_documents(none)).count() == 0
     page = '<h1>T</h1><p>a &amp; b</p><figure><img src="sha256:ab" alt="x"><figcaption>cap</figcaption></figure><script>no()</script>tail<img src="u.png">'
     items = media.parse_pages(spark.createDataFrame([(1, page), (2, None)], "id int, html string")).orderBy("id").collect()
