@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,38 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute a table now and cut its lineage by a reliable checkpoint.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The cluster's ``spark.checkpoint.dir`` is used; only where none is set, as in local
-    tests, a temporary folder is. A cluster without it is refused, since each executor
-    would write to its own disk.
+    Only where none is set, as in local tests, a temporary folder is used. A cluster
+    without it is refused, since each executor would write to its own disk.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="termweave-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="termweave-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute a table now and cut its lineage: write it to the shared folder and read it back.
+
+    It is computed once, survives the loss of any executor, and is planned by its real
+    size in the rounds of a loop. The files go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def clean() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+    atexit.register(clean)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@ import pytest
 from termweave.operators import graph as G
 from termweave.operators import pagerank as P
 
+#: Small graphs whose results are known, here and below.
 U = [("bobo", "jack"), ("bobo", "jill"), ("bobo", "jane"), ("jack", "colt"), ("jack", "colt"), ("alik", "peny")]
 D = [*U, ("jane", "bobo")]
 

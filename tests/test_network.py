@@ -35,6 +35,7 @@ def test_gate(spark):
     assert [r["term"] for r in found.collect()] == ["man"]
 
 
+#: Small inputs whose pairs are known, here and below.
 GLOSSARY = [
     (0, "Apple", "Goat explores. xyz querty apples crater . Explore apples"), (1, "Goat", "nadda."),
     (2, "explore", "Crater sphere\ntermy."), (3, "crater Sphere", "nadda."),
