@@ -39,13 +39,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of equal rows one, the least by its other columns).
     """
     rows = docs.select(*COLUMNS)
-    judged = minhash.near_duplicates(rows).where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    stays = rows.join(judged, "doc_id")
-    again = stays.where("_rows > 1")
-    if not again.isEmpty():
-        least = again.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("bare"), *COLUMNS[1:])).alias("_least")).select("doc_id", *(F.col(f"_least.{c}").alias(c) for c in COLUMNS[1:]))
-        stays = stays.where("_rows = 1").select(*COLUMNS).unionByName(least.select(*COLUMNS))
-    return stays.select(*COLUMNS).unionByName(rows.where(F.col("doc_id").isNull()))
+    kept = minhash.near_duplicates(rows).where("doc_id is not null and kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = common.materialize(kept, "kept")
+    stays = rows.join(kept.where("_rows = 1"), "doc_id", "left_semi").select(*COLUMNS).unionByName(rows.where(F.col("doc_id").isNull()))
+    again = kept.where("_rows > 1")
+    if again.isEmpty():
+        return stays
+    order = F.struct(F.col("text").isNull().alias("bare"), *COLUMNS[1:])
+    least = rows.join(again, "doc_id").groupBy("doc_id").agg(F.min(order).alias("_least"))
+    return stays.unionByName(least.select("doc_id", *(F.col(f"_least.{c}").alias(c) for c in COLUMNS[1:])))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
