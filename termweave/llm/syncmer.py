@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from termweave.llm import common
 
 K = 8
-#: Parts of an anchor's number: its hash, its place, and the mark of the second of two fingerprints.
-HASH, PLACE, OTHER = -(1 << 32), (1 << 31) - 1, 1 << 31
-#: Scripts that are written without blanks between words.
-UNSPACED = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+#: Parts of an anchor's number: its hash, and the mark of the second of two fingerprints.
+HASH, OTHER = -(1 << 32), 1 << 31
+#: Scripts that are written without blanks between words: Thai to Burmese, Khmer, kana and Han (as ranges, which are quick to test).
+UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}"
 #: Range buckets per shuffle partition for the order of documents, and buckets at most.
 BUCKETS_PER_PARTITION, MOST_BUCKETS = 8, 20_000
 
@@ -80,17 +80,15 @@ def likeness(a: Column, b: Column) -> Column:
     Two texts without words are alike, and like no other.
     """
     both = F.sort_array(F.concat(a, F.transform(b, lambda v: v.bitwiseOR(OTHER))))
-    place = lambda v: v.bitwiseAND(PLACE)
 
     def shifts(m: Column) -> Column:
-        met = F.filter(m, lambda v, i: (i > 0) & (v.bitwiseAND(HASH) == F.get(m, F.greatest(i - 1, F.lit(0))).bitwiseAND(HASH)))
-        # a common anchor's first number is the greatest one below its second
-        first = F.filter(m, lambda v, i: F.get(m, i + 1).bitwiseAND(HASH) == v.bitwiseAND(HASH))
-        return F.sort_array(F.zip_with(first, met, lambda x, y: place(y) - place(x)))
+        # a common anchor's second number follows its first, with the mark
+        one = lambda v, w: F.when(v.bitwiseXOR(w).bitwiseAND(HASH) == 0, w - v - OTHER)
+        return F.sort_array(F.array_compact(F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 2, F.size(m)), one)))
 
     def matched(s: Column) -> Column:
-        middle = F.get(s, F.floor(F.size(s) / 2).cast("int"))
-        near = F.size(F.filter(s, lambda x: F.abs(x - middle) <= K + (F.size(a) + F.size(b)) / 4))
+        middle, slack = F.get(s, F.floor(F.size(s) / 2).cast("int")), (K + (F.size(a) + F.size(b)) / 4).cast("long")
+        near = let(F.struct((middle - slack).alias("lo"), (middle + slack).alias("hi")), lambda x: F.size(F.filter(s, lambda v: (v >= x["lo"]) & (v <= x["hi"]))))
         every = F.size(a) + F.size(b) - F.size(s)
         return F.when(every == 0, F.lit(1.0)).otherwise(near / every)
 
@@ -98,10 +96,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shown(fingerprint: Column) -> Column:
-    """A fingerprint as one string: anchors in hexadecimal with their places, in order of place."""
-    by_place = F.sort_array(F.transform(fingerprint, lambda v: F.shiftleft(v, 32).bitwiseOR(F.shiftrightunsigned(v, 32))))
-    one = lambda v: F.concat(F.lpad(F.lower(F.hex(v.bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("@"), F.shiftright(v, 32).cast("string"))
-    return F.array_join(F.transform(by_place, one), ",")
+    """A fingerprint as one string: each anchor's number (hash and place) in 16 hexadecimal digits or fewer."""
+    return F.lower(F.array_join(F.transform(fingerprint, F.hex), ","))
 
 
 NO_ID = -(1 << 63)

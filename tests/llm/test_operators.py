@@ -458,7 +458,8 @@ def test_syncmers_by_brute_force(spark):
     plain = [t or "" for t in texts]
     edited = [t[: len(t) - len(t) // 3] + plain[i - 1][: len(t) // 3] for i, t in enumerate(plain)]
     known = brute_anchors(spark, plain + edited)
-    string = lambda t: ",".join(f"{h:08x}@{i}" for i, h in sorted((i, h) for h, i in known[t].items()))
+    signed = lambda h: h - (1 << 32) if h >> 31 else h
+    string = lambda t: ",".join(f"{h << 32 | known[t][h]:x}" for h in sorted(known[t], key=signed))
     for i, t in enumerate(plain):
         x = got[i]
         assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(edited[i].encode()).hexdigest())
