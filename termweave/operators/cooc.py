@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions import text
@@ -24,9 +24,10 @@ def windows(docs: DataFrame, width: int = 1, paragraphs: bool = False, mode: str
         raise ValueError("the width must be at least 1, and 1 for paragraphs")
     if mode not in ("reference", "sliding"):
         raise ValueError(f"unknown window mode {mode!r}")
-    held = docs.select("doc_id", text.sentences(F.col("text"), paragraphs).alias("s")).where(F.size("s") > 0)
+    held = docs.select("doc_id", text.sentences(F.col("text"), paragraphs).alias("s"))
     last = F.ceil(F.size("s") / width).cast("int") - 1 if mode == "reference" else F.greatest(F.size("s") - width, F.lit(0))
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.flatten(F.slice("s", i + 1, width)))
+    # no filter before: it would be pushed to where the texts are read and split them there again
+    cut = F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.flatten(F.slice("s", i + 1, width))))
     return held.select("doc_id", F.posexplode(cut).alias("win_ix", "words"))
 
 
@@ -41,7 +42,12 @@ def pairs(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "win_ix"), item:
 
 def window_pairs(hits: DataFrame) -> DataFrame:
     """The same from windows with their matches, where nothing has to be brought together."""
-    return _ordered(hits.select("doc_id", "win_ix", F.array_distinct(F.transform("hits", lambda h: h["term"])).alias("t")), ("doc_id", "win_ix"))
+    return _ordered(hits.select("doc_id", "win_ix", _terms()), ("doc_id", "win_ix"))
+
+
+def _terms() -> Column:
+    """The distinct terms of a window's matches."""
+    return F.array_distinct(F.col("hits.term")).alias("t")
 
 
 def _ordered(sets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -102,6 +108,19 @@ def pair_sentences(found: DataFrame, cut: DataFrame, texts: DataFrame) -> DataFr
     return there.join(shown, ["doc_id", "win_ix"]).select("src", "dst", "sentence").distinct()
 
 
+def distinct_texts(hits: DataFrame) -> DataFrame:
+    """The different texts of windows with their matches, and their terms: (t, sentence).
+
+    Equal texts have equal terms, so texts are made distinct before pairs leave them.
+    """
+    return hits.where("sentence is not null").select(_terms(), "sentence").distinct()
+
+
+def text_pairs(texts: DataFrame, cut: DataFrame) -> DataFrame:
+    """Distinct window texts of each kept pair, from different texts with their terms: (src, dst, sentence)."""
+    return _ordered(texts, ("sentence",)).join(cut.select("src", "dst"), ["src", "dst"]).select("src", "dst", "sentence")
+
+
 def membership(sources: DataFrame, cut: DataFrame) -> DataFrame:
     """Included and excluded terms: (term, included); a glossary term can be both."""
     inside = cut.select(F.col("src").alias("term")).union(cut.select("dst")).distinct().withColumn("included", F.lit(True))

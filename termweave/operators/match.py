@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions import stem, text
+from termweave.functions import scan, stem, text
+from termweave.operators import cooc
 
 #: A vocabulary is sent to all tasks up to so many paths; beyond, it is joined by exchange.
 BROADCAST_PATHS = 200_000
-#: Up to so many paths are held in the plan itself.
+#: Up to so many paths are held by every task.
 ROW_PATHS = 500
 HITS = "array<struct<start:int,n:int,term:string,surface:string>>"
 
@@ -29,12 +30,13 @@ def in_windows(windows: DataFrame, vocab: DataFrame, how: str = "lower", gate: b
 
     From left to right the longest path that begins at a word is taken and its words are
     skipped. With ``gate`` a path matches only words outside the closed word classes. A
-    vocabulary of a checked size of up to ROW_PATHS is matched inside each window's row,
+    vocabulary of a checked size of up to ROW_PATHS is matched inside each batch of windows,
     without any exchange; a larger one is joined by the paths' first lemmas.
     """
+    paths = _held(vocab)
+    if paths is not None:
+        return _in_batches(windows.select("doc_id", "win_ix", "words"), paths, how, gate)
     bounds = vocab.agg(F.max("n").alias("n"), F.count("*").alias("k")).first()
-    if bounds["k"] <= ROW_PATHS:
-        return _in_rows(windows, vocab, how, gate)
     if windows.isStreaming:
         raise ValueError(f"a stream is matched against at most {ROW_PATHS} paths")
     seen = windows.select("doc_id", "win_ix", "words", stem.lemmas(F.col("words"), how).alias("lemmas"))
@@ -43,31 +45,43 @@ def in_windows(windows: DataFrame, vocab: DataFrame, how: str = "lower", gate: b
     return _by_join(seen, vocab, bounds["n"] or 1, bounds["k"] <= BROADCAST_PATHS, gate)
 
 
-def _in_rows(windows: DataFrame, vocab: DataFrame, how: str, gate: bool) -> DataFrame:
-    """Matching against a vocabulary that is held in the plan."""
-    paths: dict[str, list[tuple[int, tuple[str, ...], str]]] = {}
-    for r in vocab.select("path", "term", "n").distinct().collect():
-        paths.setdefault(r["path"][0], []).append((r["n"], tuple(r["path"]), r["term"]))
-    if not paths:
-        return windows.limit(0).select("doc_id", "win_ix", F.array().cast(HITS).alias("hits"))
-    lit = lambda n, path, term: F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, path)).alias("path"), F.lit(term).alias("term"))
-    held = F.create_map(*(x for first, own in sorted(paths.items()) for x in (F.lit(first), F.array(*(lit(*p) for p in sorted(own, reverse=True))))))
+def in_texts(docs: DataFrame, vocab: DataFrame, how: str = "lower", gate: bool = False, shown: bool = False) -> DataFrame:
+    """Sentences of (doc_id, text) with the terms found in them: (doc_id, win_ix, hits).
+
+    With a vocabulary of up to ROW_PATHS each text is split and matched in one go, so no
+    words leave the batch they were read in. ``shown`` adds the column ``sentence``, the
+    words of a sentence with several matches joined by blanks, else null.
+    """
+    paths = _held(vocab)
+    if paths is None:
+        windows = cooc.windows(docs, 1)
+        hits = in_windows(windows, vocab, how, gate)
+        if not shown:
+            return hits
+        return hits.join(windows.select("doc_id", "win_ix", text.name(F.col("words")).alias("sentence")), ["doc_id", "win_ix"])
+    return _in_batches(docs.select("doc_id", "text"), paths, how, gate, shown)
 
-    def hits(lemmas: Column) -> Column:
-        """Longest match at each place whose lemma begins a path."""
 
-        def longest(i: Column) -> Column:
-            covers = lambda c: F.slice(lemmas, i + 1, c["n"]) == c["path"]
-            open_ = lambda c: F.forall(F.slice("words", i + 1, c["n"]), text.is_open)
-            fits = (lambda c: covers(c) & open_(c)) if gate else covers
-            best = F.get(F.filter(F.try_element_at(held, F.get(lemmas, i)), fits), 0)
-            return text.let(best, lambda c: F.when(c.isNotNull(), F.struct(i.alias("start"), c["n"].alias("n"), c["term"].alias("term"), text.name(F.slice("words", i + 1, c["n"])).alias("surface"))))
+def _held(vocab: DataFrame) -> list[scan.Path] | None:
+    """The paths of a vocabulary of up to ROW_PATHS; else None."""
+    rows = vocab.select("n", "path", "term").distinct().limit(ROW_PATHS + 1).collect()
+    return [scan.Path(r["n"], tuple(r["path"]), r["term"]) for r in rows if r["n"] == len(r["path"])] if len(rows) <= ROW_PATHS else None
 
-        places = F.filter(F.transform(lemmas, lambda w, i: F.when(w.isin(*paths), i)), lambda i: i.isNotNull())
-        return F.array_compact(F.transform(places, longest))
 
-    found = text.let(stem.lemmas(F.col("words"), how), lambda lemmas: text.let(hits(lemmas), lambda h: F.when(F.size(h) > 1, _leftmost(h)).otherwise(h)))
-    return windows.select("doc_id", "win_ix", found.alias("hits")).where(F.size("hits") > 0)
+def _in_batches(rows: DataFrame, paths: list[scan.Path], how: str, gate: bool, shown: bool = False) -> DataFrame:
+    """Matching of (doc_id, text) or (doc_id, win_ix, words) against paths that every task holds."""
+    matcher, whole = scan.Matcher(paths, how, gate), "text" in rows.columns
+
+    def run(batches):
+        for batch in batches:
+            for piece in scan.pieces(batch, "text") if whole else [batch]:
+                words = scan.sentences(piece["text"]) if whole else scan.given(piece["words"], piece["win_ix"])
+                yield matcher.hits(words, piece["doc_id"], shown)
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, win_ix int, hits {HITS}" + (", sentence string" if shown else "")
+    if not paths:
+        return rows.limit(0).select("doc_id", F.lit(0).alias("win_ix"), F.array().cast(HITS).alias("hits"), *([F.lit(None).cast("string").alias("sentence")] if shown else []))
+    return rows.mapInArrow(run, schema)
 
 
 def _leftmost(hits: Column) -> Column:

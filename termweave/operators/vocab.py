@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.functions import stem, text
+from termweave.functions import scan, stem, text
 
 EQUIVALENT = "<="
 
@@ -65,17 +68,42 @@ def most_frequent(docs: DataFrame, words: int = 60, pairs: int = 20, least: int
     Words are lower-case, of ``least`` characters or more, without "." and "<" and "="
     and outside ``stop``; pairs are neighbours in a sentence, both among those words.
     Equal counts: the smaller term. The result has at most ``words + pairs`` rows, which
-    come from two passes over the texts.
+    come from two passes over the texts; a batch's counts leave it, not its words.
     """
-    lowered = docs.select(F.transform(text.sentences(F.col("text")), text.lower).alias("s")).where(F.col("s").isNotNull())
-    fit = lambda w: (F.char_length(w) >= least) & ~F.rlike(w, F.lit("[.<=]")) & ~w.isin(*stop)
-    each = lowered.select(F.explode(F.array_distinct(F.filter(F.flatten("s"), fit))).alias("term"))
-    best = lambda t, k: t.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(k).collect()
-    top = [(r["term"], r["df"]) for r in best(each, words)]
+    def counted(picked):
+        """Tasks that count, batch by batch, the texts that have each picked item."""
+
+        def run(batches):
+            for batch in batches:
+                for piece in scan.pieces(batch, "text"):
+                    found = scan.sentences(piece["text"])
+                    known, codes = scan.lowered(found)
+                    row = np.repeat(found.rows, np.diff(found.bounds))
+                    terms, dfs = picked(found, known, codes, row)
+                    yield pa.RecordBatch.from_pydict({"term": terms.cast(pa.string()), "df": pa.array(dfs, pa.int64())})
+
+        return docs.select("text").mapInArrow(run, "term string, df bigint")
+
+    def single(found, known, codes, row):
+        odd = pc.or_(pc.match_substring_regex(known, "[.<=]"), pc.less(pc.utf8_length(known), least))
+        fit = (~odd.to_numpy(zero_copy_only=False) & (scan.index(known, list(stop)) < 0))[codes]
+        items, dfs = scan.row_counts(row[fit], codes[fit], max(len(known), 1))
+        return known.take(pa.array(items)), dfs
+
+    best = lambda t, k: t.groupBy("term").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "term").limit(k).collect()
+    top = [(r["term"], r["df"]) for r in best(counted(single), words)]
     chosen = [term for term, _ in top]
-    neighbours = F.flatten(F.transform("s", lambda s: F.when(F.size(s) > 1, F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a.isin(*chosen) & b.isin(*chosen), F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>"))))
+
+    def double(found, known, codes, row):
+        place = scan.index(known, chosen)[codes]
+        inside = np.ones(len(codes), dtype=bool)  # whether a word's follower is in its sentence
+        inside[(found.bounds[1:] - 1)[np.diff(found.bounds) > 0]] = False
+        at = np.flatnonzero(inside[:-1] & (place[:-1] >= 0) & (place[1:] >= 0))
+        k = len(chosen)
+        items, dfs = scan.row_counts(row[at], place[at] * k + place[at + 1], k * k)
+        return pa.array([f"{chosen[i // k]} {chosen[i % k]}" for i in items], pa.string()), dfs
+
     if chosen:
-        both = lowered.select(F.explode(F.array_distinct(F.array_compact(neighbours))).alias("term"))
-        top += [(r["term"], r["df"]) for r in best(both, pairs)]
+        top += [(r["term"], r["df"]) for r in best(counted(double), pairs)]
     rows = docs.sparkSession.createDataFrame(top, "term string, df bigint")
     return rows.select(F.split("term", " ").alias("path"), "term", F.col("term").alias("surface"), F.size(F.split("term", " ")).alias("n"), "df")

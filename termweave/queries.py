@@ -27,7 +27,7 @@ def words_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hits_of(spark: SparkSession, folder: str) -> DataFrame:
-    return match.in_windows(cooc.windows(docs_of(spark, folder), 1), words_of(spark, folder).drop("df"), "lower")
+    return match.in_texts(docs_of(spark, folder), words_of(spark, folder).drop("df"), "lower")
 
 
 def counts_of(spark: SparkSession, folder: str) -> DataFrame:
