@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termweave import storage
 from termweave.functions import scan, stem, text
 from termweave.operators import cooc
 
@@ -126,7 +127,7 @@ def inflections(found: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def merged(counts: DataFrame) -> DataFrame:
     """Sum inflection counts, for tables that were put together; a conflict is a ValueError."""
-    summed = counts.groupBy("term", "surface").agg(F.sum("cnt").alias("cnt"), F.min("first_ord").alias("first_ord"))
+    summed = storage.cut(counts.groupBy("term", "surface").agg(F.sum("cnt").alias("cnt"), F.min("first_ord").alias("first_ord")))
     clash = summed.groupBy("surface").agg(F.min("term").alias("a"), F.max("term").alias("b")).where("a <> b").limit(1).collect()
     if clash:
         raise ValueError(f"{clash[0]['surface']!r} stands for both {clash[0]['a']!r} and {clash[0]['b']!r}")

@@ -30,6 +30,11 @@ def hits_of(spark: SparkSession, folder: str) -> DataFrame:
     return match.in_texts(docs_of(spark, folder), words_of(spark, folder).drop("df"), "lower")
 
 
+def inflections_of(spark: SparkSession, folder: str) -> DataFrame:
+    words = words_of(spark, folder).drop("df")
+    return match.inflections(match.each(match.in_texts(docs_of(spark, folder), words, "lower")), words)
+
+
 def counts_of(spark: SparkSession, folder: str) -> DataFrame:
     return cooc.counts(cooc.window_pairs(hits_of(spark, folder)))
 
@@ -61,15 +66,11 @@ def term_matches(spark, folder):
 
 
 def inflection_counts(spark, folder):
-    words = words_of(spark, folder).drop("df")
-    found = storage.cut(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"))
-    return match.inflections(found, words).select("term", "surface", "cnt")
+    return inflections_of(spark, folder).select("term", "surface", "cnt")
 
 
 def dominant_inflection(spark, folder):
-    words = words_of(spark, folder).drop("df")
-    found = storage.cut(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"))
-    return match.dominant(match.inflections(found, words))
+    return match.dominant(inflections_of(spark, folder))
 
 
 def _windows(mode):
@@ -147,8 +148,7 @@ def merged_inflections(spark, folder):
 
 def decoded_names(spark, folder):
     """Each surface form in capitals and as it is, brought back to its term."""
-    words = words_of(spark, folder).drop("df")
-    counted = storage.cut(match.inflections(match.matches(cooc.windows(docs_of(spark, folder), 1), words, "lower"), words))
+    counted = inflections_of(spark, folder)
     names = counted.select("surface").distinct()
     every = names.union(names.select(F.upper("surface"))).distinct().withColumnRenamed("surface", "name")
     return match.decode(every, counted).select("name", "term")

@@ -62,3 +62,10 @@ def test_texts_are_split_once_and_not_before_they_are_dealt(spark):
     words = vocab.from_terms(spark.createDataFrame([("goats. apples",)], "text string"), how="lower")
     assert plan(cooc.windows(docs, 1)).count("regexp_extract_all") == 1
     assert "regexp" not in plan(match.in_texts(docs, words)) and "Filter" not in plan(match.in_texts(docs, words))
+
+
+def test_inflections_are_counted_once(spark):
+    docs = spark.createDataFrame([(1, "Goats eat. goats")], "doc_id bigint, text string")
+    words = vocab.from_terms(spark.createDataFrame([("goats",)], "text string"), how="lower")
+    counted = match.inflections(match.each(match.in_texts(docs, words)), words)
+    assert "MapInArrow" not in plan(counted) and {(r["surface"], r["cnt"]) for r in counted.collect()} == {("goats", 2), ("Goats", 1)}
