@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,8 @@ class Parsed:
     pairs: DataFrame  # doc_id, win_ix, src, dst
     texts: DataFrame  # doc_id, win_ix, words
     inflections: DataFrame  # term, surface, cnt, first_ord
-    sources: DataFrame  # term
+    sources: DataFrame | None = None  # term; None: the ends of the pairs
+    hits: DataFrame | None = None  # doc_id, win_ix, hits, sentence; None: texts are joined with the pairs
 
 
 @dataclass(frozen=True)
@@ -32,11 +34,18 @@ class Network:
     display: graph.Graph
     groups: dict[str, graph.Graph]
     inflections: DataFrame
-    sentences: DataFrame  # src, dst, sentence
+    find_sentences: Callable[[], DataFrame]
     facts: DataFrame  # one row: min_cnt, max_cnt, avg_cnt, cutoff, total_terms
     members: DataFrame  # term, included
     cached: dict = field(default_factory=dict, compare=False)
 
+    @property
+    def sentences(self) -> DataFrame:
+        """(src, dst, sentence): distinct window texts of each kept pair, prepared when first asked for."""
+        if "sentences" not in self.cached:
+            self.cached["sentences"] = self.find_sentences()
+        return self.cached["sentences"]
+
     def node_groups(self) -> DataFrame:
         """(term, groups): the sorted names of the groups that have the term."""
         rows = [g.nodes.select("term", F.lit(name).alias("grp")) for name, g in self.groups.items()]
@@ -75,22 +84,27 @@ def parse_glossary(rows: DataFrame, how: str = "stem", gate: bool = False) -> Pa
 
 def parse_content(docs: DataFrame, words: DataFrame, width: int = 1, paragraphs: bool = False, how: str = "stem", gate: bool = False, mode: str = "reference") -> Parsed:
     """Pairs of terms of one window of (doc_id, text): for term lists and articles alike."""
-    wins = cooc.windows(docs, width, paragraphs, mode)
-    hits = storage.cut(match.in_windows(wins, words, how, gate))
-    pairs = cooc.window_pairs(hits)
-    return Parsed(pairs, wins, match.inflections(match.each(hits), words), pairs.select(F.col("src").alias("term")).distinct())
+    wins, single = cooc.windows(docs, width, paragraphs, mode), width == 1 and not paragraphs
+    hits = storage.cut(match.in_texts(docs, words, how, gate, shown=True) if single else match.in_windows(wins, words, how, gate))
+    return Parsed(cooc.window_pairs(hits), wins, match.inflections(match.each(hits), words), hits=hits if single else None)
 
 
 def build(parsed: Parsed, keep: float = 80) -> Network:
     """Count pairs, cut the rare ones off and build the undirected network of the rest."""
-    pairs = storage.cut(parsed.pairs)
-    counted = storage.cut(cooc.counts(pairs))
+    counted = storage.cut(cooc.counts(parsed.pairs))
+    sources = counted.select(F.col("src").alias("term")).distinct() if parsed.sources is None else parsed.sources
     cut = storage.cut(cooc.kept(counted, keep))
     built = graph.build(cut).cut()
-    members = storage.cut(cooc.membership(parsed.sources, cut))
+    members = storage.cut(cooc.membership(sources, cut))
     sums = members.agg(F.count("*").alias("total_terms"))
-    facts = cooc.statistics(counted, parsed.sources).join(F.broadcast(cooc.cutoff(counted, keep))).join(F.broadcast(sums))
-    return Network(built, {LEFT: built}, parsed.inflections, cooc.pair_sentences(pairs, cut, parsed.texts), facts.select("min_cnt", "max_cnt", "avg_cnt", "cutoff", "total_terms"), members)
+    facts = cooc.statistics(counted, sources).join(F.broadcast(cooc.cutoff(counted, keep))).join(F.broadcast(sums))
+
+    def sentences() -> DataFrame:
+        if parsed.hits is None:
+            return storage.cut(cooc.pair_sentences(parsed.pairs, cut, parsed.texts))
+        return cooc.text_pairs(storage.cut(cooc.distinct_texts(parsed.hits)), cut)
+
+    return Network(built, {LEFT: built}, parsed.inflections, sentences, facts.select("min_cnt", "max_cnt", "avg_cnt", "cutoff", "total_terms"), members)
 
 
 def compare(a: Network, b: Network) -> Network:
@@ -108,4 +122,4 @@ def compare(a: Network, b: Network) -> Network:
     )
     facts = merged.join(F.broadcast(display.nodes.agg(F.count("*").alias("total_terms"))))
     (left,), (right,) = a.groups.values(), b.groups.values()
-    return Network(display, {LEFT: left, RIGHT: right}, inflections, a.sentences.union(b.sentences).distinct(), facts, included.unionByName(excluded))
+    return Network(display, {LEFT: left, RIGHT: right}, inflections, lambda: a.sentences.union(b.sentences).distinct(), facts, included.unionByName(excluded))

@@ -186,7 +186,7 @@ class Session:
 
     def link_counts(self) -> DataFrame:
         """(src, dst, cnt): distinct texts of each link, both directions added."""
-        s = self.network.sentences.distinct().groupBy("src", "dst").agg(F.count("*").alias("c"))
+        s = storage.cut(self.network.sentences.groupBy("src", "dst").agg(F.count("*").alias("c")))
         links = self.network.display.links()
         there = links.join(s, ["src", "dst"], "left").withColumnRenamed("c", "there")
         back = there.join(s.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("c").alias("back")), ["src", "dst"], "left")
@@ -231,10 +231,10 @@ class Session:
         """The link with the greatest sum of its ends' ranks over all groups, and its texts."""
         score = masked.groupBy("term").agg(F.sum("rank").alias("score"))
         scored = links.join(score.withColumnsRenamed({"term": "src", "score": "a"}), "src").join(score.withColumnsRenamed({"term": "dst", "score": "b"}), "dst")
-        best = scored.select("src", "dst", (F.col("a") + F.col("b")).alias("score")).where("score > 0").orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(1)
-        s = self.network.sentences.distinct()
-        texts = best.join(s, ["src", "dst"]).unionByName(best.join(s.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "sentence"), ["src", "dst"]))
-        joined = texts.groupBy("src", "dst").agg(F.array_join(F.sort_array(F.collect_list("sentence")), "|||").alias("summary"))
+        best = storage.cut(scored.select("src", "dst", (F.col("a") + F.col("b")).alias("score")).where("score > 0").orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(1))
+        ways = best.select("src", "dst", F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("way"))
+        texts = self.network.sentences.join(F.broadcast(ways.select(F.col("src").alias("a"), F.col("dst").alias("b"), "way.*")), ["src", "dst"])
+        joined = texts.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.array_join(F.sort_array(F.collect_list("sentence")), "|||").alias("summary"))
         return best.join(joined, ["src", "dst"], "left").select("src", "dst", "score", F.coalesce("summary", F.lit("")).alias("summary"))
 
     def chart(self, part: str = "whole", bars: int = BARS) -> DataFrame:

@@ -102,9 +102,8 @@ def cooc_cutoff(spark, folder):
 
 
 def pair_sentences(spark, folder):
-    wins = cooc.windows(docs_of(spark, folder), 1)
-    pairs = storage.cut(cooc.window_pairs(match.in_windows(wins, words_of(spark, folder).drop("df"), "lower")))
-    return cooc.pair_sentences(pairs, cooc.kept(cooc.counts(pairs), CUT_KEEP), wins)
+    hits = storage.cut(match.in_texts(docs_of(spark, folder), words_of(spark, folder).drop("df"), "lower", shown=True))
+    return cooc.text_pairs(cooc.distinct_texts(hits), storage.cut(cooc.kept(storage.cut(cooc.counts(cooc.window_pairs(hits))), CUT_KEEP)))
 
 
 def included_excluded(spark, folder):

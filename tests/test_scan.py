@@ -1,6 +1,7 @@
 """The batched text step against the column functions and the join, and how often texts are read."""
 
 import random
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from termweave.functions import scan, text
 from termweave.operators import cooc, match, vocab
+from termweave.plans import network as N
+from termweave.plans.session import Session
 
 ODD = ["a", "B", "ab", "Ab", "İ", "ΣΑΣ", "ß", "x_1", "a<=b", "é", "中", " ", "  ", "\n\n", ".", "..", "?", "!", "\x01", "\x02", ",", "-", "٣"]
 
@@ -64,6 +67,17 @@ def test_texts_are_split_once_and_not_before_they_are_dealt(spark):
     assert "regexp" not in plan(match.in_texts(docs, words)) and "Filter" not in plan(match.in_texts(docs, words))
 
 
+def test_sentences_are_prepared_once_for_a_display(spark):
+    docs = spark.createDataFrame([(1, "goats eat apples. apples goats. goats eat apples"), (2, "Goats eat apples! moon")], "doc_id bigint, text string")
+    words = vocab.from_terms(spark.createDataFrame([("goats. apples. moon",)], "text string"), how="lower")
+    net = N.build(N.parse_content(docs, words, how="lower"), keep=100)
+    calls = []
+    session = Session.start(replace(net, find_sentences=lambda: calls.append(1) or net.find_sentences()))
+    shown = session.with_metric("CC").focus().display()
+    assert shown.totals.first()["summary"] == "|||".join(sorted(["apples goats", "goats eat apples", "Goats eat apples"] * 2))
+    assert len(calls) == 1 and {tuple(r) for r in net.sentences.where("src < dst").collect()} == {("apples", "goats", s) for s in ("apples goats", "goats eat apples", "Goats eat apples")}
+
+
 def test_inflections_are_counted_once(spark):
     docs = spark.createDataFrame([(1, "Goats eat. goats")], "doc_id bigint, text string")
     words = vocab.from_terms(spark.createDataFrame([("goats",)], "text string"), how="lower")
